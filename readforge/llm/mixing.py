@@ -23,6 +23,8 @@ from .common import WORD, materialize, read_table, text_or_empty
 MOST = 3
 WEIGHTS = (1, 2, 3)
 SEED = 8
+#: Sources up to which their plan, one row of numbers each, is broadcast instead of joined by a shuffle.
+MOST_BROADCAST = 20_000
 
 
 def word_count(name: str = "text") -> Column:
@@ -81,10 +83,12 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int, per_bucket: int)
     taken = inside.groupBy("source", "xi").agg(F.sum("size").alias("size"), F.max("_before").alias("_before"), F.max("_missing").alias("_missing")).withColumn("_to", F.col("_before") + F.sum("size").over(running))
     cut = taken.groupBy("source").agg(F.max(F.when(F.col("_to") - F.col("size") / 2 <= F.col("_missing"), F.col("xi"))).alias("_in"), F.min("xi").alias("_first"))
     # no document of the last bucket fits: everything below its first one is taken
-    return plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "_in", "_first")
+    return materialize(plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "_in", "_first"), "mix-plan")
 
 
 def _with_rate(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    if plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     joined = joined.select("r.*", *[F.col(f"p.{c}") for c in plan.columns if c != "source"])
     rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
