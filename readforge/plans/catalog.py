@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readforge.functions.fixtures import fixture
 
-from . import genomics, report, scalars  # noqa: F401  they register their queries
+from . import genomics, kernels, report, scalars  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query, query
 
 FLAGSHIP_SQL = """

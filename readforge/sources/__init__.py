@@ -1 +1 @@
-
+"""Sequence, interval and report formats."""
