@@ -113,11 +113,11 @@ IDENTITY = "len(list_filter(range(1, 201), lambda i: substring(a.s, i, 1) = subs
 
 @query("m1_m3_kimura_matrix", f"""select x, y, same, case when 1 - same < 0.75 then round(-ln(same - (1 - same) * (1 - same) / 5), 6) when 1 - same > 0.93 then 10.0 else
     [{', '.join(K.FAR_DISTANCES.split())}][cast(floor((1 - same - 0.75) * 1000 + 0.5) as int) + 1]::double / 100 end as distance
-    from (select a.zmw as x, b.zmw as y, {IDENTITY} as same from {PADDED} a join {PADDED} b on b.zmw > a.zmw where a.zmw < 12 and b.zmw < 12)""", READS)
+    from (select a.zmw as x, b.zmw as y, {IDENTITY} as same from {PADDED} a join {PADDED} b on b.zmw > a.zmw where a.zmw % 100 = 0)""", READS)
 def kimura_matrix(spark, sf, reads):
-    """The triangular matrix of a stated set of twelve reads."""
-    padded = reads.where("zmw < 12").select("zmw", F.rpad("seq", 200, "-").alias("s"))
-    both = padded.select(F.col("zmw").alias("x"), F.col("s").alias("a")).join(padded.select(F.col("zmw").alias("y"), F.col("s").alias("b")), F.col("y") > F.col("x"))
+    """The triangular matrix's rows for the reads whose id is divisible by 100, against all reads."""
+    padded = reads.select("zmw", F.rpad("seq", 200, "-").alias("s"))
+    both = padded.where("zmw % 100 = 0").select(F.col("zmw").alias("x"), F.col("s").alias("a")).join(padded.select(F.col("zmw").alias("y"), F.col("s").alias("b")), F.col("y") > F.col("x"))
     same = both.select("x", "y", C.percent_identity(F.col("a"), F.col("b")).alias("same"))
     d = K.kimura(1 - F.col("same"))
     return same.select("x", "y", "same", F.when(1 - F.col("same") < 0.75, F.round(d, 6)).otherwise(d).alias("distance"))

@@ -121,7 +121,7 @@ def best_spaced(spark, sf, v):
 def weighted_distance(spark, sf, reads):
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([A.weighted_distance(x[:60], y[:60]) for x, y in zip(a, b, strict=True)])
+        return pd.Series([A.weighted_distance(x, y) for x, y in zip(a, b, strict=True)])
 
     own = own_reads(reads).withColumn("next", F.lead("seq").over(W.partitionBy("movie").orderBy("id"))).where("next is not null")
     return own.select("id", distance("seq", "next").alias("distance"))
@@ -139,8 +139,8 @@ def read_by_reference(spark, sf, reads):
 # ---- consensus
 
 
-def sub_reads(reads, copies=5, size=24, least=40):
-    own = own_reads(reads).where(F.length("seq") >= least).select("id", F.substring("seq", 1, size).alias("seq"))
+def sub_reads(reads, copies=5):
+    own = own_reads(reads).select("id", "seq")
     return own, N.simulated(own, copies)
 
 
@@ -172,11 +172,12 @@ def read_scores(spark, sf, reads):
     return sub.join(own, "id").select("id", "copy", score("read", "seq").alias("s")).select("id", "copy", "s.*")
 
 
-@query("n7_n9_quiver_consensus", None, READS)
-def quiver_consensus(spark, sf, reads):
-    """Draft, refinement and qualities for one read group in every fifty."""
-    _, sub = sub_reads(reads, 4, 12)
-    return N.group_consensus(sub.where("id % 50 = 0").select(F.col("id").alias("key"), F.col("read").alias("seq")))
+@query("n7_n9_quiver_consensus")
+def quiver_consensus(spark, sf):
+    """Draft, refinement and qualities of six reads of each nation's name, its signs taken as bases."""
+    name = F.translate(F.translate(F.upper("n_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"), "0123456789_ ", "GATCGATCGATC")
+    sub = N.simulated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), name.alias("seq")), 6)
+    return N.group_consensus(sub.select(F.col("id").alias("key"), F.col("read").alias("seq")))
 
 
 @query("n3_mutation_enumeration", "select zmw, n * 8 as all_single, 7 * n + 1 - (select count(*) from range(2, n + 1) t(i) where substring(s, cast(i as bigint), 1) = substring(s, cast(i - 1 as bigint), 1)) as unique_single from (select zmw, substring(seq, 1, 20) as s, length(substring(seq, 1, 20)) as n from reads where length(seq) >= 1)", READS)
@@ -205,7 +206,7 @@ def transcripts(spark, sf, reads):
     @F.pandas_udf("struct<transcript:string,last:int>")
     def own(seq: pd.Series) -> pd.DataFrame:
         m = [N.deletion(2), N.insertion(5, "C"), N.substitution(4, "G")]
-        return pd.DataFrame([(N.transcript(m, s[:30]), N.positions(m, s[:30])[-1]) for s in seq], columns=["transcript", "last"])
+        return pd.DataFrame([(N.transcript(m, s), N.positions(m, s)[-1]) for s in seq], columns=["transcript", "last"])
 
     return own_reads(reads).select("id", own("seq").alias("t")).select("id", "t.*")
 
@@ -228,7 +229,7 @@ def diploid_sites(spark, sf, p):
 
 @query("n12_expected_counts", None, READS)
 def expected_counts(spark, sf, reads):
-    own, sub = sub_reads(reads, 1, 16)
+    own, sub = sub_reads(reads, 1)
 
     @F.pandas_udf("array<double>")
     def counts(read: pd.Series, tpl: pd.Series) -> pd.Series:
@@ -314,13 +315,13 @@ def scaffold_sequences(spark, sf, reads):
     return G.scaffold_sequence(own.select("path_id", "p.place", "p.forward", "seq"), 4)
 
 
-@query("m5_m6_sequence_weights", None, READS)
-def sequence_weights(spark, sf, reads):
-    """Guide tree and weights of a stated set of twelve reads."""
-    own = reads.where("zmw < 12").orderBy("zmw").select("zmw", F.rpad("seq", 200, "-").alias("s")).collect()
-    distance = [[1 - sum(a == b != "-" for a, b in zip(x.s, y.s, strict=True)) / 200 for y in own] for x in own]
-    tree = spark.createDataFrame(G.guide_tree(distance), "child int, parent int, length double")
-    return G.sequence_weights(tree)
+@query("m5_m6_sequence_weights", """select leaf, 1 / (d * count(*) over () / sum(d) over ()) as weight from (select n_name as leaf, (n_nationkey % 7 + 1)::double + (r_regionkey + 2)::double as d from nation join region on n_regionkey = r_regionkey)""")
+def sequence_weights(spark, sf):
+    """Weights of the leaves of a tree of nations under regions under one root."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    low = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("child"), F.concat(F.lit("region "), "r_name").alias("parent"), (F.col("n_nationkey") % 7 + 1).cast("double").alias("length"))
+    high = n.select(F.col("n_regionkey").alias("r_regionkey")).distinct().join(r, "r_regionkey").select(F.concat(F.lit("region "), "r_name").alias("child"), F.lit("root").alias("parent"), (F.col("r_regionkey") + 2).cast("double").alias("length"))
+    return G.sequence_weights(low.unionByName(high))
 
 
 # ---- formats
