@@ -16,7 +16,7 @@ dictionary and parse), both with the lengths that neighbours have in common. Fro
 class of its phrase suffix and of its prefix of the parse; sorted by both, equal windows are neighbours.
 
 A trigger in more than ``most_segments`` places is too hot for one task. Its windows are dealt out one by one,
-by 128-bit hashes that are counted with map-side sums.
+by 128-bit hashes that are counted with map-side sums and salted by how hot the trigger is.
 
 Null text counts as empty; texts shorter than ``length`` keep all bytes. Repeated rows are two starts of each
 string, so they lose everything of ``length`` bytes and more. Texts of any length are parsed in blocks.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table, row_blocks, text_bytes, text_or_empty
 
 LENGTH = 200
-GRAM = 32
-BLOCK = 1 << 20
+GRAM = 64
+BLOCK = 1 << 18
 BATCH_SEGMENTS = 8_000
 MOST_SEGMENTS = 20_000
 
@@ -139,9 +139,9 @@ def _cut_batches(length: int):
             for i, text in enumerate(batch.column(2)):
                 raw = text.as_buffer().to_pybytes()
                 spots = batch.column(3)[i].values
-                h, lo, hi, at = (spots.field(j) for j in range(4))
+                h, lo, hi, at, salts = (spots.field(j) for j in range(5))
                 ends = zip(lo.to_pylist(), hi.to_pylist(), strict=True)
-                yield pa.record_batch([h, pa.array([keys1[i]] * len(h), pa.int64()), pa.array([keys2[i]] * len(h), pa.int64()), lo, at, pa.array([raw[a : b + length] for a, b in ends], pa.binary())], names=["h", "k1", "k2", "lo", "at", "bytes"])
+                yield pa.record_batch([h, pa.array([keys1[i]] * len(h), pa.int64()), pa.array([keys2[i]] * len(h), pa.int64()), lo, at, pa.array([raw[a : b + length] for a, b in ends], pa.binary()), salts], names=["h", "k1", "k2", "lo", "at", "bytes", "salts"])
 
     return cut
 
@@ -244,20 +244,22 @@ def _order_batches(length: int, gram: int, batch_segments: int):
 
 
 def _window_batches(length: int):
-    """A 128-bit hash of every window of the segments."""
+    """A 128-bit hash of every window of the segments, and a salt that spreads the windows of a hot trigger over its texts."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, lo, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
+            for k1, k2, lo, data, salts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
                 n = len(data) - length + 1
                 w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(np.arange(lo, lo + n))], names=["w1", "w2", "k1", "k2", "s"])
+                same = lambda x: pa.array([x] * n, pa.int64())  # noqa: B023, E731
+                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), same((k1 ^ k2) % salts), same(k1), same(k2), pa.array(np.arange(lo, lo + n))], names=["w1", "w2", "salt", "k1", "k2", "s"])
 
     return lambda batches: _merged(hashed(batches))
 
 
 _PLACE = "h long, k1 long, k2 long, lo long, hi long, at long"
-_SEGMENT = "h long, k1 long, k2 long, lo long, at long, bytes binary"
+_SEGMENT = "h long, k1 long, k2 long, lo long, at long, bytes binary, salts long"
+_WINDOW = "w1 long, w2 long, salt long, k1 long, k2 long, s long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -270,11 +272,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """(k1, k2, s, e): byte spans, overlapping ones too, that windows found elsewhere cover."""
     spots = texts.where(F.octet_length("text") >= length).mapInArrow(_place_batches(length, gram), _PLACE)
     spots = materialize(spots, "suffix-places")
-    counts = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    again = materialize(spots.join(counts, "h"), "suffix-repeated")
+    # a table of its own, so that the join's sides are plain shuffles and Spark can split those of a hot trigger
+    counts = materialize(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-counts")
+    salted = counts.select("h", "n", F.ceil(F.col("n") / most_segments).cast("long").alias("salts"))
+    again = materialize(spots.join(salted, "h"), "suffix-repeated")
 
     def segments(own: DataFrame) -> DataFrame:
-        lists = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "hi", "at")).alias("spots"))
+        lists = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "hi", "at", "salts")).alias("spots"))
         cut = _cut_batches(length)
         return texts.join(lists, ["k1", "k2"]).mapInArrow(lambda batches: _merged(cut(batches)), _SEGMENT)
 
@@ -282,9 +286,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     spans = usual.mapInArrow(_order_batches(length, gram, batch_segments), "k1 long, k2 long, s long, e long")
     hot = again.where(F.col("n") > most_segments)
     if not hot.isEmpty():
-        windows = materialize(segments(hot).mapInArrow(_window_batches(length), "w1 long, w2 long, k1 long, k2 long, s long"), "suffix-windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.unionByName(windows.join(twice, ["w1", "w2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+        # all in one plan with the rest, so that the texts are dealt out once; the salt keeps a window that is
+        # everywhere from meeting in one task, and sums by salt are small
+        windows = segments(hot).mapInArrow(_window_batches(length), _WINDOW)
+        sums = windows.groupBy("w1", "w2", "salt").agg(F.count("*").alias("n"))
+        twice = sums.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+        found = sums.select("w1", "w2", "salt").join(twice, ["w1", "w2"])
+        spans = spans.unionByName(windows.join(found, ["w1", "w2", "salt"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
     return spans
 
 
