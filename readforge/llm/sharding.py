@@ -63,7 +63,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     total = numbered.count()
     share = [total // shards + (i < total % shards) for i in range(shards)]
     same = ["text_hash", "text_crc32", "size"]
-    groups = numbered.groupBy(*same).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join below has two plain shuffles and Spark can split that of a large group
+    groups = materialize(numbered.groupBy(*same).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "shard-groups")
     linked = materialize(numbered.join(groups, same).select("node", "hub"), "shard-linked")
     nodes = linked.select("node", (F.col("node") % shards).cast("int").alias("shard"))
     placed = propagate(nodes, linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), share, rounds)
