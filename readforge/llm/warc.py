@@ -29,6 +29,7 @@ from .storage import Reader, Writer, new_file
 MIN_BYTES = 100
 MOST_FILE = 256 << 20
 INDEX_STEP = 512
+RANGES_A_TASK = 8
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -164,8 +165,11 @@ def _normalise_batches(folder: str, step: int):
 
 
 def normalise(files: DataFrame, folder: str, step: int = INDEX_STEP) -> DataFrame:
-    """(path, index, lo, hi): ranges of ``step`` members in the sidecar indexes of the rewritten files."""
-    return files.select("path").repartition("path").mapInArrow(_normalise_batches(folder, step), "path string, index string, lo long, hi long")
+    """(path, index, lo, hi): ranges of ``step`` members in the sidecar indexes of the rewritten files.
+
+    The number of partitions is given, one for each file, as rows of a few bytes would else be put into one task.
+    """
+    return files.select("path").repartition(max(1, files.count()), "path").mapInArrow(_normalise_batches(folder, step), "path string, index string, lo long, hi long")
 
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, stored_bytes long, verified boolean"
@@ -190,7 +194,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read(ranges: DataFrame) -> DataFrame:
     """One row for each record of the ranges, from its own gzip member."""
-    return ranges.repartition("path", "lo").mapInArrow(_read_batches, READ_SCHEMA)
+    return ranges.repartition(max(1, ranges.count() // RANGES_A_TASK), "path", "lo").mapInArrow(_read_batches, READ_SCHEMA)
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
