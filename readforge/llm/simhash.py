@@ -81,16 +81,23 @@ def _finer_masks(mask: int) -> list[int]:
     return [mask | sum(groups[g] for g in chosen) for chosen in combinations(range(8), 5)]
 
 
+_ONES = np.uint64(0x0101010101010101)
+_TOPS = _ONES << np.uint64(7)
+_BUDGETS = np.uint64(sum(MOST * (i + 1) // SEGMENTS << BITS * i for i in range(SEGMENTS)))
+
+
 def chain_viable(difference: np.ndarray) -> np.ndarray:
-    """Whether some start of the ring keeps every chain of segment differences within its budget."""
-    counts = np.bitwise_count(difference.view(np.uint8).reshape(-1, SEGMENTS)).astype(np.int8)
-    good = np.zeros(len(counts), bool)
+    """Whether some start of the ring keeps every chain of segment differences within its budget.
+
+    All within one word: byte i of a rotated word of segment counts, times 0x0101..., is the sum of the first i + 1.
+    """
+    c = difference - (difference >> np.uint64(1) & _ONES * np.uint64(0x55))
+    c = (c & _ONES * np.uint64(0x33)) + (c >> np.uint64(2) & _ONES * np.uint64(0x33))
+    c = c + (c >> np.uint64(4)) & _ONES * np.uint64(0x0F)
+    good = np.zeros(len(c), bool)
     for start in range(SEGMENTS):
-        run, fits = np.zeros(len(counts), np.int8), np.ones(len(counts), bool)
-        for length in range(1, SEGMENTS + 1):
-            run = run + counts[:, (start + length - 1) % SEGMENTS]
-            fits &= run <= MOST * length // SEGMENTS
-        good |= fits
+        turned = c >> np.uint64(BITS * start) | c << np.uint64(64 - BITS * start) if start else c
+        good |= (_BUDGETS + _TOPS - turned * _ONES) & _TOPS == _TOPS
     return good
 
 
@@ -100,8 +107,11 @@ def _spanning(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(open_) > 1:
         frontier, open_ = open_[:1], open_[1:]
         while len(frontier) and len(open_):
-            block, frontier = frontier[:128], frontier[128:]
-            near = np.bitwise_count(block[:, None] ^ open_[None, :]) <= MOST
+            rows = min(128, -(-(1 << 15) // len(open_)))
+            block, frontier = frontier[:rows], frontier[rows:]
+            difference = block[:, None] ^ open_[None, :]
+            near = chain_viable(difference.ravel()).reshape(difference.shape)
+            near[near] = np.bitwise_count(difference[near]) <= MOST
             hit = near.any(axis=0)
             if hit.any():
                 left.append(block[near[:, hit].argmax(axis=0)])
