@@ -278,7 +278,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     again = materialize(spots.join(salted, "h"), "suffix-repeated")
 
     def segments(own: DataFrame) -> DataFrame:
-        lists = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "hi", "at", "salts")).alias("spots"))
+        # sets: m repeated rows share one list of places, and the join makes m segments of each, not m * m
+        lists = own.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "lo", "hi", "at", "salts")).alias("spots"))
         cut = _cut_batches(length)
         return texts.join(lists, ["k1", "k2"]).mapInArrow(lambda batches: _merged(cut(batches)), _SEGMENT)
 
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     """
     texts = keyed(docs)
     spans = repeated_spans(texts, length, gram, most_segments)
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("k1", "k2", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("k1", "k2", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     rows = texts.join(lists, ["k1", "k2"], "left").select("k1", "text", "s", "e").mapInArrow(_removal_batches(with_text), _RESULT)
     return rows.select(F.nullif("k1", F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 

@@ -195,6 +195,10 @@ def test_chains_keep_all_close_pairs():
     assert simhash.chain_viable(bits).all()
     many = rng.integers(0, 2**63, 2000, dtype=np.uint64)
     assert not simhash.chain_viable(many).all()
+    for x in [*many[:300].tolist(), *bits[:300].tolist(), 0, 2**64 - 1]:
+        own = [(x >> 8 * i & 255).bit_count() for i in range(8)] * 2
+        plain = any(all(sum(own[start : start + n]) <= 3 * n // 8 for n in range(1, 9)) for start in range(8))
+        assert simhash.chain_viable(np.array([x], np.uint64))[0] == plain
 
 
 def test_components_of_chains_and_stars(spark):
@@ -261,6 +265,17 @@ def test_removal_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
 # ---- 7 WARC
 
 
+@pytest.mark.parametrize("hot", [10, 20_000])
+def test_repeated_rows_do_not_multiply(spark, hot):
+    text, other = "".join(chr(97 + i * i * 7 % 26) for i in range(300)), "".join(chr(97 + i * i * 11 % 25) for i in range(260))
+    rows = [(7, text)] * 40 + [(None, other)] * 30 + [(8, "x" + other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, 50, 16, hot).collect())
+    assert got == Counter((i, *p) for (i, _), p in zip(rows, plain_removal([t for _, t in rows], 50), strict=True))
+    # each row has its windows once, at most
+    assert suffix.repeated_spans(suffix.keyed(docs), 50, 16, hot).count() <= sum(len(t) for _, t in rows)
+
+
 def test_warc_round_trip(spark):
     page = "<p>ü</p>\r\n\r\nWARC/1.1 " * 20
     rows = [(3, "http://a/ü", page, 1), (1, None, page, 2), (1, None, page, 2), (None, "u", page, 3), (2, "u\nv", "short", 4), (4, "u", "short", 5), (5, "u", None, 6), (6, "u", "x" * 3_000_000, 7), (None, "u", "y" * 200, 8), (None, "v", "y" * 200, 9)]
