@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, row_blocks, text_bytes, text_or_empty
+from .common import discard, materialize, read_table, row_blocks, text_bytes, text_or_empty
 
 LENGTH = 200
 GRAM = 64
@@ -276,6 +276,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     counts = materialize(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-counts")
     salted = counts.select("h", "n", F.ceil(F.col("n") / most_segments).cast("long").alias("salts"))
     again = materialize(spots.join(salted, "h"), "suffix-repeated")
+    discard(spots)
+    discard(counts)
 
     def segments(own: DataFrame) -> DataFrame:
         # sets: m repeated rows share one list of places, and the join makes m segments of each, not m * m
