@@ -4,7 +4,7 @@ A 64-bit fingerprint is cut into eight segments of eight bits on a ring. If two
 most three bits, some start segment exists from which every chain of ``l`` consecutive segments differs in
 at most ``floor(3 l / 8)`` bits: 0, 0, 1, 1, 1, 2, 2, 3. The first five budgets make the join key: two
 segments are equal and of the next three at most one differs, so two of them are equal as well: 32 equal
-bits, in three choices, at eight starts. Pairs that meet on a key must pass the remaining chain budgets
+bits, in three choices, at eight starts. Pairs that meet on a key must pass the chain budgets
 before the full Hamming check.
 
 Null text counts as empty; texts without a word have fingerprint zero and are linked like any other.
