@@ -177,12 +177,14 @@ def near_duplicates(docs: DataFrame, most_bucket: int = 4096) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "text_hash", "component", "component_id")
 
 
-def keep_first(docs: DataFrame, most_bucket: int = 4096) -> DataFrame:
+def keep_first(docs: DataFrame, most_bucket: int = 4096, groups: DataFrame | None = None) -> DataFrame:
     """One document of each group: the smallest doc_id, or a row without one if no member has an id.
 
+    groups: (doc_id, text_hash, component) of every row; the groups of ``near_duplicates`` if not given.
     A document is its id and text; of repeated rows one stays. All columns of ``docs`` are returned.
     """
-    first = near_duplicates(docs, most_bucket).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("w"))
+    found = near_duplicates(docs, most_bucket) if groups is None else groups
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))).alias("w"))
     key = ["_none", "_id", "_hash"]
     keyed = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64(text_or_empty())})
     return keyed.join(first.select("w.*").distinct(), key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,3 +72,36 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     corpus(spark, folder)
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and out.count() > 50
+
+
+def test_near_duplicates_are_all_of_four_fifths(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    line = [word() for _ in range(12)]
+    texts = []
+    for g in range(12):
+        base = [word() for _ in range(rng.randint(20, 250))]
+        for c in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 40)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own + line if c % 3 == 0 else own).upper() if c % 2 else " ".join(own))
+    texts += ["", " ", "ab", "AB ", "ab cd ef", " ".join(line), " ".join(line)]
+
+    def plain(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets, group = [plain(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                far += bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 3
+                group = [group[j] if x == group[i] else x for x in group]
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert got == sorted(first.values()) and 10 < len(got) < len(texts) - 20 and far > 20
