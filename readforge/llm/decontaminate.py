@@ -2,12 +2,14 @@
 
 Texts and items are lower-cased and every run of other characters than letters and digits becomes one space.
 An item of ``m`` characters may be present with up to ``k = floor(error_rate * m)`` edits. It is cut into
-``k + 1`` pieces; by the pigeonhole principle at least one piece occurs unchanged in any such passage. An
-Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance verifies the place they point to.
-
-Items shorter than ``min_chars`` are too common to be searched inside texts: they only match a text that
-equals them. Items without letters or digits never match. Null text counts as empty. Repeated items and rows
-are kept apart; the result has one row for each contaminated input row. Items go to the executors in blocks
+``k + t`` pieces; by the pigeonhole principle at least ``t`` of them occur unchanged in any such passage, and the
+starts of the item they point to lie within ``k`` characters. An Aho-Corasick automaton finds the pieces, and
+Myers' bit-parallel distance verifies the places where ``t`` agree. ``t`` is as large as pieces of five characters
+allow, eight at most.
+
+Items shorter than ``min_chars`` are found without edits, between word boundaries; scripts without spaces have a
+boundary at each character. Items without letters or digits never match. Null text counts as empty. Repeated items
+and rows are kept apart; the result has one row for each contaminated input row. Items go to the executors in blocks
 of at most ``block_bytes``, so the benchmark may have any size.
 """
 
@@ -15,28 +17,39 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table, text_or_empty
 
-ERROR_RATE = 0.06
+ERROR_RATE = 0.15
 MIN_CHARS = 25
 BLOCK_BYTES = 8 << 20
 
+MOST_AGREEING, PIECE_CHARS = 8, 5
+
 _OTHER = re.compile(r"[\W_]+")
+#: Thai, Lao, Myanmar, Khmer, kana and Han: scripts without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
-def pieces(item: str, errors: int) -> list[tuple[int, str]]:
-    """``errors + 1`` pieces of nearly even length, with their offsets."""
-    n = errors + 1
+def agreeing(length: int, errors: int) -> int:
+    """How many pieces of an item have to agree on a place."""
+    return max(1, min(MOST_AGREEING, length // PIECE_CHARS - errors))
+
+
+def pieces(item: str, errors: int, agree: int = 1) -> list[tuple[int, str]]:
+    """``errors + agree`` pieces of nearly even length, with their offsets."""
+    n = errors + agree
     cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -70,50 +83,83 @@ class Pattern:
         return best, end
 
 
+def _bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word is cut at the ends of ``text[start:end]``."""
+    inside = lambda a, b: a != " " and b != " " and not _UNSPACED.match(a) and not _UNSPACED.match(b)
+    return not (start and inside(text[start - 1], text[start]) or end < len(text) and inside(text[end - 1], text[end]))
+
+
 class Index:
-    """Pieces of a block of items in one automaton."""
+    """Pieces of a block of items in one automaton, short items in another."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
-        self.whole: dict[str, list[int]] = {}
-        self.items: list[tuple[int, int, Pattern]] = []
+        short: dict[str, list[int]] = {}
+        self.items: list[tuple[int, int, int, Pattern]] = []
         found: dict[str, list[tuple[int, int]]] = {}
         for ident, text in items:
             plain = normalise(text)
             if not plain:
                 continue
             if len(plain) < min_chars:
-                self.whole.setdefault(plain, []).append(ident)
+                short.setdefault(plain, []).append(ident)
                 continue
             errors = int(error_rate * len(plain))
+            agree = agreeing(len(plain), errors)
             at = len(self.items)
-            self.items.append((ident, errors, Pattern(plain)))
-            for offset, piece in pieces(plain, errors):
-                found.setdefault(piece, []).append((at, offset))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in found.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if found:
-            self.automaton.make_automaton()
+            self.items.append((ident, errors, agree, Pattern(plain)))
+            for offset, piece in pieces(plain, errors, agree):
+                found.setdefault(piece, []).append((at, offset + len(piece) - 1))
+        self.short, self.automaton = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for plain, idents in short.items():
+            self.short.add_word(plain, (len(plain), idents))
+        for number, piece in enumerate(found):
+            self.automaton.add_word(piece, number)
+        for automaton in (self.short, self.automaton):
+            if len(automaton):
+                automaton.make_automaton()
+        places = list(found.values())
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in places], dtype=np.int64)]).astype(np.int64)
+        self.at, self.back = np.array([p for x in places for p in x], np.int64).reshape(-1, 2).T
+        self.errors = np.array([x[1] for x in self.items], np.int64)
+        self.reach = np.array([x[3].m + x[1] for x in self.items], np.int64)
+        self.agree = np.array([x[2] for x in self.items], np.int64)
+
+    def _regions(self, plain: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the parts of the text where hits agree, in order; overlapping parts are one."""
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(plain)), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return
+        ends, numbers = hits.T
+        sizes = self.first[numbers + 1] - self.first[numbers]
+        which = np.repeat(self.first[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        at, start = self.at[which], np.repeat(ends, sizes) - self.back[which]
+        # one number to sort by; starts before the text are above -2 ** 31
+        order = np.sort((at << 33) + start + (1 << 31))
+        at, start = order >> 33, (order & (1 << 33) - 1) - (1 << 31)
+        last = np.arange(len(at)) + self.agree[at] - 1
+        ok = last < len(at)
+        ok[ok] = (at[last[ok]] == at[ok]) & (start[last[ok]] - start[ok] <= self.errors[at[ok]])
+        if not ok.any():
+            return
+        at, lo, hi = at[ok], start[ok] - self.errors[at[ok]], start[last[ok]] + self.reach[at[ok]]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (lo[1:] > hi[:-1])]))
+        yield from zip(at[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(at)) - 1].tolist(), strict=True)
 
     def matches(self, text: str) -> dict[int, int]:
         """item_id -> least distance, for the items that are present."""
         plain = normalise(text)
-        out = dict.fromkeys(self.whole.get(plain, ()), 0)
-        if not self.items or not plain:
+        out: dict[int, int] = {}
+        if not plain:
+            return out
+        if len(self.short):
+            for end, (length, idents) in self.short.iter(plain):
+                if _bounded(plain, end + 1 - length, end + 1):
+                    out.update(dict.fromkeys(idents, 0))
+        if not self.items:
             return out
-        starts: dict[int, set[int]] = {}
-        for end, (length, places) in self.automaton.iter(plain):
-            for at, offset in places:
-                starts.setdefault(at, set()).add(end + 1 - length - offset)
-        for at, guesses in starts.items():
-            ident, errors, pattern = self.items[at]
-            best, ordered, i = errors + 1, sorted(guesses), 0
-            while i < len(ordered) and best:
-                lo = hi = ordered[i]
-                while i < len(ordered) and ordered[i] <= hi + errors + 1 and ordered[i] - lo <= 4 * pattern.m:
-                    hi = ordered[i]
-                    i += 1
-                best = min(best, pattern.search(plain[max(0, lo - errors) : hi + pattern.m + errors])[0])
+        for at, lo, hi in self._regions(plain):
+            ident, errors, _, pattern = self.items[at]
+            best = pattern.search(plain[max(0, lo) : hi])[0] if out.get(ident) != 0 else 0
             if best <= errors:
                 out[ident] = min(best, out.get(ident, best))
         return out

@@ -102,6 +102,21 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.keep_clean(odd_docs, items.limit(0)).count() == odd_docs.count()
 
 
+def test_reworded_and_short_items_are_found(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    long = [word() for _ in range(30)]
+    items = [(0, " ".join(long)), (1, "Who wrote it?"), (2, "東京はどこ")]
+    reworded = list(long)
+    for k in (4, 13, 22):
+        reworded[k] = "zzzzzz"
+    texts = [" ".join([word(), *reworded, word()]), "so: who wrote IT, then", "xwho wrote it", "who wrote its", "それで東京はどこですか", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: (r.item_ids, r.distances) for r in decontaminate.contaminated(docs, bench).collect()} == {0: ([0], [18]), 1: ([1], [0]), 4: ([2], [0])}
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 3, 5]
+
+
 # ---- 2 language identification
 
 
