@@ -165,17 +165,23 @@ class Index:
         return out
 
 
+_HITS = "item_ids array<long>, distances array<int>"
+
+
 def _matcher(block, error_rate: float, min_chars: int):
+    """Adds a block's hits to those of the blocks before, in the same row."""
+
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(block.value, error_rate, min_chars)
         for batch in batches:
-            keys, ids, distances = [], [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                if hits := index.matches(text.as_py()):
-                    keys.append(key.as_py())
-                    ids.append(sorted(hits))
-                    distances.append([hits[i] for i in sorted(hits)])
-            yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(ids, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))], names=["doc_id", "item_ids", "distances"])
+            ids, distances = [], []
+            for text, old, far in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                hits = dict(zip(old, far, strict=True))
+                for i, d in index.matches(text).items():
+                    hits[i] = min(d, hits.get(i, d))
+                ids.append(sorted(hits))
+                distances.append([hits[i] for i in sorted(hits)])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))], names=["doc_id", "text", "item_ids", "distances"])
 
     return matched
 
@@ -193,14 +199,14 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_ids, distances) of the rows that hold an item; one row for each block that has some."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    schema = "doc_id long, item_ids array<long>, distances array<int>"
-    out = spark.createDataFrame([], schema)
+    """(doc_id, item_ids, distances) of the rows that hold an item, one row for each, whatever the blocks."""
+    context = docs.sparkSession.sparkContext
+    schema = f"doc_id long, text string, {_HITS}"
+    none = [F.array().cast(kind).alias(name) for name, kind in (("item_ids", "array<bigint>"), ("distances", "array<int>"))]
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *none)
     for block in _blocks(benchmark, block_bytes):
-        out = out.unionByName(rows.mapInArrow(_matcher(spark.sparkContext.broadcast(block), error_rate, min_chars), schema))
-    return out
+        out = out.mapInArrow(_matcher(context.broadcast(block), error_rate, min_chars), schema)
+    return out.where(F.size("item_ids") > 0).select("doc_id", "item_ids", "distances")
 
 
 def _clean_filter(block, at: int, error_rate: float, min_chars: int):

@@ -117,6 +117,14 @@ def test_reworded_and_short_items_are_found(spark):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 3, 5]
 
 
+def test_blocks_of_items_do_not_change_the_result(spark):
+    items = [(i, " ".join(f"word{(i * 7 + j * j) % 50} item{i}" for j in range(5))) for i in range(6)]
+    docs = spark.createDataFrame([(1, " and ".join(t for _, t in items)), (1, items[3][1]), (2, "nothing here"), (None, items[0][1] + " " + items[5][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [sorted(map(repr, decontaminate.contaminated(docs, bench, block_bytes=n).collect())) for n in (1, 600, 1 << 20)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 3
+
+
 # ---- 2 language identification
 
 
