@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation (operator 9), under the law ``rows``: shard sizes differ by one at most.
 
 Every row starts in a shard by the order of its hash. Linked rows then move towards the shard most of their
-neighbours are in, in rounds of joins. A pair of shards may swap as many rows as wish to go both ways, and a
+neighbours are in, in rounds of joins, until no wish can be met. A pair of shards may swap as many rows as wish to go both ways, and a
 shard may take more while its linked rows fit in its share; wishes beyond a quota wait, in hash order. Half of
 the rows, dealt by hash and round, may move in a round, so that neighbours don't chase each other. Rows
 without links fill what is left of each shard's share, which makes the sizes even to the row.
@@ -12,35 +12,42 @@ share is spread over several. Repeated rows are rows of their own. Columns besid
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ranked, read_table, text_or_empty
 
 SHARDS = 16
-ROUNDS = 5
+#: Propagation also ends when the number of wishes hasn't been lower for so many rounds: rows that only change places.
+STILL = 8
 
 
-def propagate(nodes: DataFrame, links: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(node, shard) after ``rounds`` rounds.
+def propagate(nodes: DataFrame, links: DataFrame, room: list[int], still: int = STILL) -> DataFrame:
+    """(node, shard) when no wish with a quota is left, or none of ``still`` rounds lowered the number of wishes.
 
     nodes: (node, shard), the linked rows; links: (a, b), each link once; room: the most linked rows a shard may hold.
     """
     shards = len(room)
     links = links.where("a <> b")
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-links")
-    for turn in range(rounds):
+    fewest, since = None, 0
+    for turn in count():
         votes = both.join(nodes.select(F.col("node").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("all"))
         wishes = nodes.join(best, nodes["node"] == best["a"]).select("node", F.col("shard").alias("src"), (-F.col("best.low")).alias("dst"), (F.col("best.n") - F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))).alias("gain"))
-        wishes = materialize(wishes.where("gain > 0 and src <> dst").where(F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit(1)) == 0).select("node", "src", "dst"), "shard-wishes")
+        wishes = materialize(wishes.where("gain > 0 and src <> dst").select("node", "src", "dst", (F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit(1)) == 0).alias("now")), "shard-wishes")
         # at most shards * shards numbers
-        wanted = {(r.src, r.dst): r["count"] for r in wishes.groupBy("src", "dst").count().collect()}
+        wanted = {(r.src, r.dst): (r.n, r.now) for r in wishes.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if("now").alias("now")).collect()}
+        held = {r.shard: r["count"] for r in nodes.groupBy("shard").count().collect()}
+        total = sum(n for n, _ in wanted.values())
+        fewest, since = (total, 0) if fewest is None or total < fewest else (fewest, since + 1)
+        if since == still or not any(k[::-1] in wanted or held.get(k[1], 0) < room[k[1]] for k in wanted):
+            break
+        wanted = {k: now for k, (_, now) in wanted.items() if now}
         if not wanted:
-            if turn % 2:
-                break
             continue
-        held = {r.shard: r["count"] for r in nodes.groupBy("shard").count().collect()}
         quota = {k: min(n, wanted.get(k[::-1], 0)) for k, n in wanted.items()}
         for dst in range(shards):
             more = {k: n - quota[k] for k, n in wanted.items() if k[1] == dst}
@@ -48,13 +55,13 @@ def propagate(nodes: DataFrame, links: DataFrame, room: list[int], rounds: int =
             for k, n in more.items():
                 quota[k] += n if total <= spare else n * spare // total
         allowed = nodes.sparkSession.createDataFrame([(*k, n) for k, n in quota.items()], "src int, dst int, quota long")
-        waiting = ranked(wishes, ["src", "dst"], F.xxhash64("node", F.lit(-1 - turn)), "place")
+        waiting = ranked(wishes.where("now").drop("now"), ["src", "dst"], F.xxhash64("node", F.lit(-1 - turn)), "place")
         moves = waiting.join(F.broadcast(allowed), ["src", "dst"]).where("place < quota").select("node", "dst")
         nodes = materialize(nodes.join(moves, "node", "left").select("node", F.coalesce("dst", "shard").alias("shard")), "shard-nodes")
     return nodes
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row."""
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
@@ -67,7 +74,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     groups = materialize(numbered.groupBy(*same).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "shard-groups")
     linked = materialize(numbered.join(groups, same).select("node", "hub"), "shard-linked")
     nodes = linked.select("node", (F.col("node") % shards).cast("int").alias("shard"))
-    placed = propagate(nodes, linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), share, rounds)
+    placed = propagate(nodes, linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), share)
     held = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
     alone = ranked(numbered.join(linked, "node", "left_anti"), [], F.xxhash64("node", F.lit(0)), "place")
     ends, upto = [], 0

@@ -391,6 +391,14 @@ def test_shards_are_even_and_copies_stay_together(spark):
     assert cut < 0.25 * linked
 
 
+def test_groups_that_fit_are_not_cut(spark):
+    rows = [(i, f"group {i // 20}" if i < 400 else f"pair {i // 2}" if i < 600 else f"alone {i}") for i in range(1800)]
+    groups = defaultdict(set)
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        groups[r.text_crc32].add(r.shard)
+    assert {len(g) for g in groups.values()} == {1}
+
+
 def test_sharding_of_odd_rows(spark, odd_docs, no_docs):
     got = sharding.shard(odd_docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd_docs.collect())
