@@ -45,10 +45,10 @@ def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("kmer").alias("src")), "src", "left_anti").join(gone.select(F.col("kmer").alias("dst")), "dst", "left_anti").select("src", "dst", *[c for c in edges.columns if c not in ("src", "dst")])
 
 
-def erode(nodes: DataFrame, edges: DataFrame, least: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def erode(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Take away nodes seen less than ``least`` times from the ends of paths, until none is left at an end."""
     nodes, edges = cut_lineage(nodes), cut_lineage(edges)
-    for _ in range(rounds):
+    while True:
         out, into = edges.select(F.col("src").alias("kmer")).distinct(), edges.select(F.col("dst").alias("kmer")).distinct()
         inner = out.join(into, "kmer", "left_semi")
         gone = cut_lineage(nodes.where(F.col("n") < least).join(inner, "kmer", "left_anti").select("kmer"))

@@ -268,7 +268,7 @@ def edges(spark, sf, reads):
 @query("h3_eroded_nodes", None, READS)
 def eroded(spark, sf, reads):
     nodes, own = graph(reads)
-    return G.erode(nodes, own.where("same_orientation").select("src", "dst"), 2, 4)[0]
+    return G.erode(nodes, own.where("same_orientation").select("src", "dst"), 2)[0]
 
 
 @query("h4_h6_contigs", None, READS)

@@ -174,3 +174,14 @@ def test_random_graph_of_reads_gives_reads_back(spark):
     nodes = G.kmer_nodes(reads, 15)
     built = G.contigs(nodes, G.de_bruijn_edges(nodes).where("same_orientation")).collect()
     assert [r.seq for r in built] == [genome]
+
+
+def test_long_weak_paths_erode_whole(spark):
+    from readforge.operators import graphs
+
+    # a path of 25 weak nodes hangs on a circle of strong ones
+    circle = [("c0", "c1"), ("c1", "c2"), ("c2", "c0")]
+    path = [(f"p{i}", f"p{i + 1}" if i < 24 else "c0") for i in range(25)]
+    nodes = spark.createDataFrame([(f"c{i}", 5) for i in range(3)] + [(f"p{i}", 1) for i in range(25)], "kmer string, n long")
+    left, edges = graphs.erode(nodes, spark.createDataFrame(circle + path, "src string, dst string"), 2)
+    assert sorted(r.kmer for r in left.collect()) == ["c0", "c1", "c2"] and edges.count() == 3
