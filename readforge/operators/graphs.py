@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,21 @@ from pyspark.sql import functions as F
 from readforge.functions.columns import kmers, reverse_complement
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back."""
-    spark: SparkSession = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors see, under ``spark.checkpoint.dir``; a temporary one where it is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="readforge-")
-        spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/readforge/graph-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/readforge/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    spark: SparkSession = df.sparkSession
+    path = scratch(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

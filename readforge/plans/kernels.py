@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
@@ -16,6 +13,7 @@ from readforge.operators import consensus as N
 from readforge.operators import graphs as G
 from readforge.operators import kmers as K
 from readforge.operators import pileup as P
+from readforge.operators.graphs import scratch
 from readforge.sources import formats
 from readforge.streaming import adapters
 
@@ -25,15 +23,6 @@ from .scalars import quals
 READS, R, V, PB = ("reads",), ("read_report",), ("variants",), ("pileup_bases",)
 
 
-def scratch(spark, label: str) -> str:
-    """A new folder that executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="readforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/readforge/{label}-{uuid.uuid4().hex}"
-
-
 def own_reads(reads):
     return reads.where("length(seq) >= 40").select(F.col("zmw").alias("id"), "seq", "movie")
 
