@@ -11,8 +11,12 @@ string, and all is read back exactly. The loss mask is a list of spans in code p
 text.
 
 Null text and null role count as empty, null scores as 0. A message whose parent is missing is a root; a path
-that leads into a circle has no root and is left out. Rows with a null conversation id form one conversation
-of that id. Equal turns are ordered by role and text, nulls first. Other columns are ignored.
+that leads into a circle has no root and is left out. Tree and node name a message: of rows that share both, the
+first by parent, role, text and score is the message, and rows without a node, which nothing can name, are left
+out. Rows with a null conversation id form one conversation of that id. Without node columns every row is a turn,
+repeated ones too; equal turns are ordered by role and text, nulls first. A conversation's turns are numbered, and
+joined to one string, in one task: its output is one row that holds them all. An empty table gives no rows. Texts
+may have any length that a string may. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +106,9 @@ def chat(conversations: DataFrame, top: int = 1) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("k"), F.col("conv_id").cast("string")), F.lit("null"))
     if {"node", "parent"} <= set(conversations.columns):
         score = F.col("score") if "score" in conversations.columns else F.lit(0.0)
-        rows = conversations.select("conv_id", key.alias("tree"), F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "role", "text", score.alias("score")).where("node is not null")
+        rows = conversations.select("conv_id", key.alias("tree"), F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "role", "text", score.cast("double").alias("score")).where("node is not null")
+        message = F.struct("parent", "role", "text", "score", "conv_id")
+        rows = rows.groupBy("tree", "node").agg(F.min(message).alias("m")).select("tree", "node", "m.*")
     else:
         order = W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
         rows = conversations.select("conv_id", key.alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))

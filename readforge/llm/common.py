@@ -15,13 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a fresh temporary one only where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a fresh temporary one where it is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         have = sc._jsc.sc().getCheckpointDir()
         if have.isDefined():
             root = have.get()
+        elif not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="readforge-ckpt-")
             sc.setCheckpointDir(root)
@@ -93,12 +95,15 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
     seen = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # tables of their own, so that the joins below have plain shuffles and Spark can split that of a large group's centre
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "edges-large")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-down")
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, pairs = pairs, materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(before)
+        for table in (before, low, large, down):
+            discard(table)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

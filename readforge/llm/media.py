@@ -2,9 +2,10 @@
 
 ``store`` writes payloads as lossless 8-bit grey PNG images into archives, one or more for each task. An
 archive is a run of members (id, length, CRC-32, image) and ends with the list of their offsets. The data
-source ``media_archive`` lists a directory's archives on the driver, cuts them into byte ranges and leaves each
-range to a task. A task reads the offsets in its range, fetches every member by itself, tries it again if it
-can't be read or its checksum is wrong, and hands the images on in Arrow batches.
+source ``media_archive`` lists a directory's archives on the driver, cuts them into byte ranges (of 4 MiB, or
+larger ones so that there are at most ``MOST_RANGES``) and leaves each range to a task. A task reads the offsets in
+its range and the members in large blocks, tries by its offset each one again that can't be read or whose checksum
+is wrong, and hands the images on in Arrow batches.
 
 A text is taken as UTF-8 (null: empty) and padded with bytes 255, which no UTF-8 holds, to a positive multiple
 of 576. Repeated rows have members of their own; a null doc_id stays null. An empty table gives no archive
@@ -35,6 +36,7 @@ WIDTH = 576
 RANGE_BYTES = 4 << 20
 MOST_FILE = 256 << 20
 BATCH_BYTES = 4 << 20
+MOST_RANGES = 100_000
 TRIES = 3
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -145,16 +147,22 @@ class MediaReader(DataSourceReader):
         there = {x.base_name for x in own.get_file_info(pafs.FileSelector(base)) if x.is_file}
         if missing := listed.keys() - there:
             raise FileNotFoundError(f"archives of the manifest are missing: {sorted(missing)[:3]}")
-        return [ByteRange(f"{self.folder}/{name}", lo, min(lo + self.range_bytes, int(size))) for name, size in sorted(listed.items()) for lo in range(0, int(size), self.range_bytes)] or [ByteRange("", 0, 0)]
-
-    def _member(self, source: Reader, at: int) -> tuple[int | None, bytes]:
+        step = max(self.range_bytes, -(-sum(map(int, listed.values())) // MOST_RANGES))
+        return [ByteRange(f"{self.folder}/{name}", lo, min(lo + step, int(size))) for name, size in sorted(listed.items()) for lo in range(0, int(size), step)] or [ByteRange("", 0, 0)]
+
+    @staticmethod
+    def _unpacked(data: bytes, at: int) -> tuple[int | None, bytes]:
+        known, doc_id, size, crc = struct.unpack_from(_MEMBER, data)
+        image = data[_MEMBER_SIZE : _MEMBER_SIZE + size]
+        if len(image) < size or zlib.crc32(image) != crc:
+            raise OSError(f"checksum of the member at {at} is wrong")
+        return (doc_id if known else None), image
+
+    def _member(self, source: Reader, at: int, end: int) -> tuple[int | None, bytes]:
+        """One member by its offset, tried again if that fails."""
         for left in reversed(range(self.tries)):
             try:
-                known, doc_id, size, crc = struct.unpack(_MEMBER, source.read_at(at, _MEMBER_SIZE))
-                image = source.read_at(at + _MEMBER_SIZE, size)
-                if zlib.crc32(image) != crc:
-                    raise OSError(f"checksum of the member at {at} is wrong")
-                return (doc_id if known else None), image
+                return self._unpacked(source.read_at(at, end - at), at)
             except (OSError, struct.error):
                 if not left:
                     raise
@@ -167,16 +175,25 @@ class MediaReader(DataSourceReader):
         source = Reader(partition.path)
         (foot,) = struct.unpack("<q", source.read_at(source.size - 8, 8))
         offsets = np.frombuffer(source.read_at(foot, source.size - 8 - foot), "<i8")
-        own = offsets[(offsets >= partition.lo) & (offsets < partition.hi)]
-        ids, images, held = [], [], 0
-        for i, at in enumerate(own.tolist()):
-            doc_id, image = self._member(source, at)
-            ids.append(doc_id)
-            images.append(image)
-            held += len(image)
-            if held >= BATCH_BYTES or i == len(own) - 1:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "media"])
-                ids, images, held = [], [], 0
+        first, last = np.searchsorted(offsets, [partition.lo, partition.hi])
+        own = np.append(offsets, foot)[first : last + 1].tolist()
+        while len(own) > 1:
+            n = 1  # a block of members, or one larger member
+            while n + 1 < len(own) and own[n + 1] - own[0] <= BATCH_BYTES:
+                n += 1
+            try:
+                block = source.read_at(own[0], own[n] - own[0])
+            except OSError:
+                block = b""
+            found = []
+            for at, end in zip(own[:n], own[1 : n + 1], strict=True):
+                try:
+                    found.append(self._unpacked(block[at - own[0] : end - own[0]], at))
+                except (OSError, struct.error):
+                    found.append(self._member(source, at, end))
+            ids, images = zip(*found, strict=True)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "media"])
+            own = own[n:]
         source.close()
 
 

@@ -5,9 +5,12 @@ gradient of one binned feature and adds it to that feature's lookup table; then
 two-way tables, grown by four-cell trees. A score is the intercept plus one table entry per feature and
 pair, looked up for all rows of a batch at once.
 
-Fitting takes at most ``TRAIN_ROWS`` labelled rows (a bounded sample by id hash); scoring covers every
-whole text. Null text counts as empty and gets a score like any other; without labelled rows every score
-is 0.5. A document with several labels counts once for each. Labels without an id or quality are ignored.
+Fitting takes at most ``TRAIN_ROWS`` labelled rows (a bounded sample by id hash), whatever ids repeat; scoring
+covers every whole text, long ones too. Null text counts as empty and gets a score like any other. A document with
+several labels, and each repeated document, counts once for each while the bound lasts. Labels without an id or
+quality are ignored. Without labelled rows nothing is known: every score is 0.5, and ``keep_good`` keeps all rows.
+Repeated rows are scored alike, a null doc_id stays null, an empty table gives no rows, and columns of any other
+names are ignored (``score``) or kept as they are (``keep_good``).
 """
 
 from __future__ import annotations
@@ -186,18 +189,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30,
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(*text_bytes(batch.column(0)))
-        yield pa.record_batch([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.record_batch([batch.column(1), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], names=["quality", "x", "h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most about ``most_rows`` labelled documents, those of the smallest id hashes, outside the held-out part."""
+    """Fit on at most ``most_rows`` labelled documents, those of the smallest id hashes, outside the held-out part."""
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", 4) != 2).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("quality"))
-    n = usable.count()
-    share = min(1.0, most_rows / max(n, 1))
-    chosen = usable.where((F.xxhash64("_id").cast("double") / 2.0**64 + 0.5) < share)
-    known = F.broadcast(chosen)  # about most_rows small rows, by the share above
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).join(known, "_id").select("text", "quality")
-    sample = rows.mapInArrow(_feature_batches, "quality double, x array<double>").toPandas()
+    hashed = F.xxhash64(F.lit(3), "_id")
+    known = F.broadcast(usable.withColumn("_h", hashed).orderBy("_h", "_id", "quality").limit(most_rows))  # most_rows small rows
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).join(known, "_id")
+    rows = own.select("text", "quality", "_h").mapInArrow(_feature_batches, "quality double, x array<double>, h long")
+    sample = rows.orderBy("h", "quality", "x").limit(most_rows).toPandas()  # repeated ids too count against the bound
     if not len(sample):
         return Model()
     order = np.lexsort([*np.stack(sample["x"].to_list()).T, sample["quality"].to_numpy()])  # the same model whatever order rows arrive in
@@ -221,7 +223,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their columns as they were."""
+    """The rows of ``docs`` that score at least ``threshold``, with their columns as they were; all if nothing was learned."""
+    if not model.tables:
+        return docs
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     names = [f"_c{i}" for i in range(len(docs.columns))]

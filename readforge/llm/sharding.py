@@ -2,12 +2,15 @@
 
 Every row starts in a shard by the order of its hash. Linked rows then move towards the shard most of their
 neighbours are in, in rounds of joins, until no wish can be met. A pair of shards may swap as many rows as wish to go both ways, and a
-shard may take more while its linked rows fit in its share; wishes beyond a quota wait, in hash order. Half of
-the rows, dealt by hash and round, may move in a round, so that neighbours don't chase each other. Rows
-without links fill what is left of each shard's share, which makes the sizes even to the row.
+shard may take more while its linked rows fit in its share; wishes beyond a quota wait, in hash order. So that
+neighbours don't chase each other, rounds take turns: one moves rows to higher shards only, one to lower ones, and
+one half of the rows, dealt by hash, any way. Rows without links fill what is left of each shard's share, which makes
+the sizes even to the row.
 
-A null text counts as empty with size 1; rows with equal texts are linked. A group larger than a shard's
-share is spread over several. Repeated rows are rows of their own. Columns besides doc_id and text are ignored.
+A null text counts as empty with size 1; rows with equal texts are linked, however long. A group larger than a
+shard's share is spread over several. Repeated rows are rows of their own, counted first and told apart by a number,
+so that none of their groups is ranked in one task; a null doc_id stays null. An empty table gives no rows. Columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .common import materialize, ranked, read_table, text_or_empty
 
 SHARDS = 16
 #: Propagation also ends when the number of wishes hasn't been lower for so many rounds: rows that only change places.
-STILL = 8
+STILL = 9
 
 
 def propagate(nodes: DataFrame, links: DataFrame, room: list[int], still: int = STILL) -> DataFrame:
@@ -37,7 +40,8 @@ def propagate(nodes: DataFrame, links: DataFrame, room: list[int], still: int =
         votes = both.join(nodes.select(F.col("node").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("all"))
         wishes = nodes.join(best, nodes["node"] == best["a"]).select("node", F.col("shard").alias("src"), (-F.col("best.low")).alias("dst"), (F.col("best.n") - F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))).alias("gain"))
-        wishes = materialize(wishes.where("gain > 0 and src <> dst").select("node", "src", "dst", (F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit(1)) == 0).alias("now")), "shard-wishes")
+        now = (F.col("src") < F.col("dst"), F.col("src") > F.col("dst"), F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit(1)) == 0)[turn % 3]
+        wishes = materialize(wishes.where("gain > 0 and src <> dst").select("node", "src", "dst", now.alias("now")), "shard-wishes")
         # at most shards * shards numbers
         wanted = {(r.src, r.dst): (r.n, r.now) for r in wishes.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if("now").alias("now")).collect()}
         held = {r.shard: r["count"] for r in nodes.groupBy("shard").count().collect()}
@@ -55,9 +59,11 @@ def propagate(nodes: DataFrame, links: DataFrame, room: list[int], still: int =
             for k, n in more.items():
                 quota[k] += n if total <= spare else n * spare // total
         allowed = nodes.sparkSession.createDataFrame([(*k, n) for k, n in quota.items()], "src int, dst int, quota long")
-        waiting = ranked(wishes.where("now").drop("now"), ["src", "dst"], F.xxhash64("node", F.lit(-1 - turn)), "place")
-        moves = waiting.join(F.broadcast(allowed), ["src", "dst"]).where("place < quota").select("node", "dst")
-        nodes = materialize(nodes.join(moves, "node", "left").select("node", F.coalesce("dst", "shard").alias("shard")), "shard-nodes")
+        moves = wishes.where("now").drop("now")
+        if any(quota[k] < n for k, n in wanted.items()):
+            waiting = ranked(moves, ["src", "dst"], F.xxhash64("node", F.lit(-1 - turn)), "place")
+            moves = waiting.join(F.broadcast(allowed), ["src", "dst"]).where("place < quota")
+        nodes = materialize(nodes.join(moves.select("node", "dst"), "node", "left").select("node", F.coalesce("dst", "shard").alias("shard")), "shard-nodes")
     return nodes
 
 
@@ -65,8 +71,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row."""
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    same = ["doc_id", "size", "text_crc32", "text_hash"]
+    rows = rows.groupBy(*same).agg(F.count("*").alias("n")).select(*same, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     rows = materialize(rows, "shard-rows")
-    numbered = materialize(ranked(rows, [], F.xxhash64("doc_id", "text_hash"), "node"), "shard-numbered")
+    numbered = materialize(ranked(rows, [], F.xxhash64("doc_id", "text_hash", "copy"), "node"), "shard-numbered")
     total = numbered.count()
     share = [total // shards + (i < total % shards) for i in range(shards)]
     same = ["text_hash", "text_crc32", "size"]

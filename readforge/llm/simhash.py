@@ -9,7 +9,8 @@ before the full Hamming check.
 
 Null text counts as empty; texts without a word have fingerprint zero and are linked like any other.
 Repeated rows stay, one result row each; a null doc_id is kept and never names a component unless all its
-members lack one. Other columns of the input are ignored, whatever their names.
+members lack one. An empty table gives no rows; texts of any length are read whole, their hashes in parts. Other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def links(prints: DataFrame, most_bucket: int = 4096) -> DataFrame:
     """
     masks = _key_masks()
     keys = prints.select("fp", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("way", "key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that Spark can split the shuffle of a key that many prints share
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "print-sizes")
     met = keys.join(sizes, "key")
     usual = met.where(F.col("n") <= most_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     finer = F.array(*[F.lit(_signed(x)) for m in masks for x in _finer_masks(m)])

@@ -1,14 +1,15 @@
 """WARC writing and the monolithic gzip normaliser (operator 7).
 
 ``write`` packs records into ``.warc.gz`` files that are one gzip stream each, as many crawlers leave them.
-``normalise`` inflates each such file once, front to back, rewrites every record as its own gzip member and
+``normalise`` inflates each such file once, front to back and through all its members if there are several, rewrites
+every record as its own gzip member and
 writes a sidecar index of the members' offsets. ``read`` takes ranges of that index, and every range can be
 read by another task: it reads its bytes and inflates each member by itself.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a response
 and the others revisit it; of repeated rows of that page one is. Null html is an empty payload; a null page_id
 sorts last, and revisits of such a page have a null refers_to. A null url becomes an empty target. An empty
-table gives no records. Files have names of their own for every attempt, and only those that finished tasks
+table gives no records. A stream that ends early, or inside a record, is an error. Files have names of their own for every attempt, and only those that finished tasks
 report are read, so a lost task leaves nothing behind that counts. Other columns are ignored.
 """
 
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialize, read_table, run_folder
 from .storage import Reader, Writer, new_file
@@ -79,15 +79,20 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _inflated(uri: str, step: int = 1 << 20) -> Iterator[bytes]:
-    source, stream, at = Reader(uri), zlib.decompressobj(31), 0
+    source, stream, at, begun = Reader(uri), zlib.decompressobj(31), 0, False
     while at < source.size:
         data = source.read_at(at, step)
         at += len(data)
         while data:
+            begun = True
             yield stream.decompress(data, 4 * step)
             data = stream.unconsumed_tail
-    yield stream.flush()
+            if stream.eof:
+                # more members may follow; zeros pad a file
+                data, stream, begun = stream.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
     source.close()
+    if begun:
+        raise ValueError(f"the gzip stream of {uri} is cut off")
 
 
 def _write_batches(folder: str, most_file: int):
@@ -119,19 +124,24 @@ def _write_batches(folder: str, most_file: int):
 def typed(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, html, digest, kind, refers_to) with every row's record type.
 
-    Types are found on digests and ids alone, so equal payloads meet as small rows; the html is joined by page.
+    Types are found on digests and ids alone, so equal payloads meet as small rows that are summed before they are
+    dealt out; the html is joined by page. Repeated rows of a first page are counted, and written out again from
+    their number, so that no group of them is ordered.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    light = rows.where(F.col("n") >= min_bytes).select("_id", "_none", "digest")
-    first = light.groupBy("digest").agg(F.min(F.struct("_none", "_id")).alias("first"), F.count("*").alias("same")).where("same > 1").select("digest", "first")
-    again = light.join(first, "digest").select("_id", "_none", "digest", (F.struct("_none", "_id") == F.col("first")).alias("is_first"), F.when(~F.col("first._none"), F.col("first._id")).alias("first_id")).distinct()
     key = ["_id", "_none", "digest"]
-    # of repeated rows of the first page, one is the response
-    joined = rows.join(again, key, "left")
-    place = F.row_number().over(W.partitionBy(*key).orderBy("url"))
-    joined = joined.withColumn("_revisit", F.col("is_first").isNotNull() & (~F.col("is_first") | (place > 1)))
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("_revisit"), "revisit").otherwise("response").alias("kind"), F.when(F.col("_revisit"), F.col("first_id")).alias("refers_to"))
+    light = materialize(rows.where(F.col("n") >= min_bytes).groupBy(*key).agg(F.count("*").alias("times"), F.min("url").alias("first_url")), "warc-light")
+    first = materialize(light.groupBy("digest").agg(F.min(F.struct("_none", "_id")).alias("first"), F.sum("times").alias("same")).where("same > 1").select("digest", "first"), "warc-first")
+    is_first = F.struct("_none", "_id") == F.col("first")
+    again = light.join(first, "digest").select(*key, "first_url", is_first.alias("is_first"), (is_first & (F.col("times") > 1)).alias("tied"), F.when(~F.col("first._none"), F.col("first._id")).alias("first_id"))
+    again = materialize(again, "warc-again")
+    joined = rows.join(again.select(*key, "is_first", "tied", "first_id"), key, "left").where("tied is null or not tied").withColumn("_revisit", F.coalesce(~F.col("is_first"), F.lit(False)))
+    # of repeated rows of the first page, one with the least url is the response
+    copies = rows.join(again.where("tied").select(*key, "first_url", "first_id"), key).groupBy(*key, "page_id", "url", "first_url", "first_id").agg(F.count("*").alias("times"), F.first("html").alias("html"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("_revisit", (F.col("copy") > 1) | (F.col("url") != F.col("first_url")))
+    both = joined.select("page_id", "url", "html", "digest", "_revisit", "first_id").unionByName(copies.select("page_id", "url", "html", "digest", "_revisit", "first_id"))
+    return both.select("page_id", "url", "html", "digest", F.when(F.col("_revisit"), "revisit").otherwise("response").alias("kind"), F.when(F.col("_revisit"), F.col("first_id")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, most_file: int = MOST_FILE) -> DataFrame:

@@ -251,13 +251,31 @@ def test_media_round_trip(spark, odd_docs, no_docs):
     assert media.read(spark, empty).count() == 0
 
 
-def test_a_broken_member_is_tried_again_and_then_reported(tmp_path):
-    image = media.encode_png(media.padded(b"abc"))
-    path = tmp_path / "x.media"
-    path.write_bytes(b"\1" * 17 + image)
-    reader = media.MediaReader(str(tmp_path), 100, 2)
+def test_broken_members_are_tried_again_by_offset_and_then_reported(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(30)], "doc_id long, text string").coalesce(1)
+    folder = f"file://{tmp_path}/m"
+    media.store(docs, folder)
+    reader = media.MediaReader(folder, 1 << 20, 3)
+    (part,) = reader.partitions()
+    whole = [r for b in reader.read(part) for r in b.to_pylist()]
+    asked, plain = [], media.Reader.read_at
+
+    def flaky(self, offset, length):
+        data = plain(self, offset, length)
+        asked.append((offset, length))
+        if len(asked) == 3:  # the block of members, with one of them spoilt
+            return data[:1000] + bytes([data[1000] ^ 1]) + data[1001:]
+        if len(asked) == 4:
+            raise OSError("not now")
+        return data
+
+    monkeypatch.setattr(media.Reader, "read_at", flaky)
+    again = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert again == whole and len(whole) == 30 and len(asked) == 5  # foot, offsets, block, and two tries for one member
+    asked.clear()
+    monkeypatch.setattr(media.Reader, "read_at", lambda self, offset, length: flaky(self, offset, length) if len(asked) < 2 else b"\1" * length)
     with pytest.raises(OSError):
-        reader._member(media.Reader(str(path)), 0)
+        list(reader.read(part))
 
 
 # ---- 6 substrings
