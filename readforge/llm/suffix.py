@@ -1,26 +1,28 @@
 """Exact substring dedup by prefix-free parsing (operator 6).
 
-A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else in the corpus.
-
-Parsing. A rolling hash runs over all strings of ``GRAM`` bytes. In each window of ``length`` bytes the gram of
-least hash is the trigger (the last one if equal): it depends on the window's content alone, so equal windows
-have equal triggers at the same place. Triggers cut a text into phrases, and a window is the suffix of one
-phrase up to its trigger and a prefix of what follows from there.
-
-Pruning. A window can only repeat if its trigger does: triggers are counted over the corpus, and only windows
-of repeated triggers go on, as segments (all windows of one trigger place in one text) dealt out by trigger.
-
-Corpus order. For the segments of a batch of triggers there is a dictionary of distinct phrases before and
-after the trigger. The former are sorted by their reversed bytes, the latter by their bytes (suffix arrays of
-dictionary and parse), both with the lengths that neighbours have in common. From these each window gets the
-class of its phrase suffix and of its prefix of the parse; sorted by both, equal windows are neighbours.
-
-A trigger in more than ``most_segments`` places is too hot for one task. Its windows are dealt out one by one,
-by 128-bit hashes that are counted with map-side sums and salted by how hot the trigger is.
+A byte is removed if a string of ``length`` bytes (a window) that covers it also starts anywhere else in the corpus.
+
+Parse. A rolling hash runs over all strings of ``GRAM`` bytes. In each window the gram of least hash is the trigger
+(the last one if equal): it depends on the window's content alone, so equal windows have equal triggers at the same
+place. Triggers cut a text into phrases: a phrase is the bytes of all consecutive windows that have one trigger
+place. Phrases overlap by ``length - 1`` bytes, so every window lies in exactly one phrase, and a text becomes a
+sequence of phrase numbers (the trigger's hash and the phrase's 128-bit XXH3). Of this parse no suffix array is
+needed, since no window reaches into a second phrase: how often each number occurs is all it adds.
+
+Dictionary. Phrases of triggers that occur once in the corpus can't repeat anything and go. Of the others every
+distinct phrase is one entry with its count, summed where the texts are read first, so a passage that a third of all
+texts share is one entry and not a task's load. A trigger with one phrase is settled: all its windows repeat. The
+other entries are cut from one text each.
+
+Corpus order. The entries of one trigger are sorted by their bytes before the trigger, read backwards, and by those
+from it on, both with the lengths that neighbours have in common. From these suffix arrays each window gets the class
+of what it has before the trigger and of what follows; sorted by both, equal windows are neighbours, and their counts
+add up. A trigger with more than ``most_phrases`` distinct phrases is cut into phrases of one window each; these
+become entries of the same kind, whose counts are summed over all tasks, so that none holds the whole group.
 
 Null text counts as empty; texts shorter than ``length`` keep all bytes. Repeated rows are two starts of each
-string, so they lose everything of ``length`` bytes and more. Texts of any length are parsed in blocks.
-Columns besides doc_id and text are ignored.
+string, so they lose everything of ``length`` bytes and more. Texts of any length are parsed in blocks. A null doc_id
+stays null; an empty table gives no rows. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from .common import discard, materialize, read_table, row_blocks, text_bytes, te
 LENGTH = 200
 GRAM = 64
 BLOCK = 1 << 18
-BATCH_SEGMENTS = 8_000
-MOST_SEGMENTS = 20_000
+#: Entries sorted at once, and the most of one trigger that are sorted in one task.
+BATCH_PHRASES, MOST_PHRASES = 8_000, 30_000
 
 _RANDOM = np.random.default_rng(6)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,8 +99,11 @@ def _blocks_of(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator
             yield buffer[offsets[lo] + at : offsets[lo] + at + own + length - 1], np.array([lo]), np.zeros(1, np.int64), np.array([at]), np.array([own])
 
 
-def places(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(hash, row, first window, last window, trigger) of every trigger place; positions are in the text."""
+_PLACE = ["h", "p1", "p2", "lo", "w", "at"]
+
+
+def places(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Rows of the texts, and for each phrase its number (h, p1, p2), first window, windows and trigger in the phrase."""
     out: list[tuple[np.ndarray, ...]] = []
     for data, rows, starts, shift, windows in _blocks_of(buffer, offsets, length):
         if len(data) < length or not windows.any():
@@ -111,39 +116,44 @@ def places(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
         begin = np.flatnonzero(new)
         end = np.concatenate([begin[1:], [len(row)]]) - 1
-        own = row[begin]
-        back = shift[own] - starts[own]
-        out.append((hashes[place[begin]].view(np.int64), rows[own], first[begin] + back, first[end] + back, place[begin] + back))
+        own, lo, hi = row[begin], first[begin], first[end]
+        raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+        numbers = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        out.append((rows[own], hashes[place[begin]].view(np.int64), numbers[:, 0], numbers[:, 1], lo + shift[own] - starts[own], hi - lo + 1, place[begin] - lo))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return np.zeros(0, np.int64), {c: np.zeros(0, np.int64) for c in _PLACE}
+    row, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, dict(zip(_PLACE, columns, strict=True))
 
 
 def _place_batches(length: int, gram: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            buffer, offsets = text_bytes(batch.column(2))
-            hashes, row, lo, hi, at = places(buffer, offsets, length, gram)
-            yield pa.record_batch([pa.array(hashes), pa.array(k1[row]), pa.array(k2[row]), pa.array(lo), pa.array(hi), pa.array(at)], names=["h", "k1", "k2", "lo", "hi", "at"])
+            row, columns = places(*text_bytes(batch.column(2)), length, gram)
+            yield pa.record_batch([pa.array(k1[row]), pa.array(k2[row]), *map(pa.array, columns.values())], names=["k1", "k2", *columns])
 
     return found
 
 
 def _cut_batches(length: int):
-    """Segments: the bytes of all windows of a trigger place."""
+    """The bytes of dictionary entries from the texts that were chosen for them; of repeated rows in a row one is read."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            keys1, keys2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in enumerate(batch.column(2)):
-                raw = text.as_buffer().to_pybytes()
-                spots = batch.column(3)[i].values
-                h, lo, hi, at, salts = (spots.field(j) for j in range(5))
-                ends = zip(lo.to_pylist(), hi.to_pylist(), strict=True)
-                yield pa.record_batch([h, pa.array([keys1[i]] * len(h), pa.int64()), pa.array([keys2[i]] * len(h), pa.int64()), lo, at, pa.array([raw[a : b + length] for a, b in ends], pa.binary()), salts], names=["h", "k1", "k2", "lo", "at", "bytes", "salts"])
+            for k1, k2, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if (k1, k2) == last:
+                    continue
+                last, raw, entry = (k1, k2), text.as_buffer().to_pybytes(), spots.values
+                lo, w = entry.field("lo").to_pylist(), entry.field("w").to_pylist()
+                data = pa.array([raw[a : a + n + length - 1] for a, n in zip(lo, w, strict=True)], pa.binary())
+                yield pa.record_batch([*(entry.field(c) for c in _ENTRY[:-1]), data], names=_ENTRY)
+
+    return lambda batches: _merged(cut(batches))
 
-    return cut
+
+_ENTRY = ["h", "p1", "p2", "n", "d", "at", "bytes"]
 
 
 def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -175,60 +185,59 @@ def _classes(common: np.ndarray, most: int) -> np.ndarray:
     return np.maximum.accumulate(starts.astype(np.int32), axis=0)
 
 
-def repeated_windows(segments: list[bytes], triggers_at: np.ndarray, length: int, gram: int) -> list[list[tuple[int, int]]]:
-    """For each segment the runs (from, to) of window starts that repeat among the segments; all have one trigger each.
+def repeated_windows(phrases: list[bytes], triggers_at: np.ndarray, counts: np.ndarray, length: int, gram: int) -> list[list[tuple[int, int]]]:
+    """For each phrase the runs (from, to) of its windows that occur more than once, by the phrases' counts.
 
-    ``triggers_at``: the trigger's place in the segment.
+    Phrases are distinct unless their triggers differ. ``triggers_at``: the trigger's place in the phrase.
     """
-    before = [s[: a + gram][::-1] for s, a in zip(segments, triggers_at.tolist(), strict=True)]
-    after = [s[a:] for s, a in zip(segments, triggers_at.tolist(), strict=True)]
-    dictionary, parse = sorted(set(before)), sorted(set(after))
-    rank_b, rank_a = ({p: i for i, p in enumerate(own)} for own in (dictionary, parse))
+    before = [s[: a + gram][::-1] for s, a in zip(phrases, triggers_at.tolist(), strict=True)]
+    after = [s[a:] for s, a in zip(phrases, triggers_at.tolist(), strict=True)]
+    back_order, order = sorted(set(before)), sorted(set(after))
+    rank_b, rank_a = ({p: i for i, p in enumerate(own)} for own in (back_order, order))
     left = np.fromiter((rank_b[p] for p in before), np.int64, len(before))
     right = np.fromiter((rank_a[p] for p in after), np.int64, len(after))
-    pair, where, times = np.unique(left * len(parse) + right, return_inverse=True, return_counts=True)
-    pl, pr = pair // len(parse), pair % len(parse)
-    size_b = np.fromiter(map(len, dictionary), np.int64, len(dictionary))[pl]
-    size_a = np.fromiter(map(len, parse), np.int64, len(parse))[pr]
     # a window starts ``back`` bytes before the trigger
-    most, least = size_b - gram, length - size_a
-    n = most - least + 1
-    own = np.repeat(np.arange(len(pair)), n)
+    most = triggers_at
+    n = np.fromiter(map(len, phrases), np.int64, len(phrases)) - length + 1
+    own = np.repeat(np.arange(len(n)), n)
     back = np.repeat(most + np.concatenate([[0], np.cumsum(n)[:-1]]), n) - np.arange(len(own))
-    suffix = _classes(_common(dictionary, length), length)[pl[own], back + gram]
-    prefix = _classes(_common(parse, length), length)[pr[own], length - back]
-    key = (back * len(dictionary) + suffix) * len(parse) + prefix
-    order = np.argsort(key, kind="stable")
-    equal = key[order][1:] == key[order][:-1]
+    suffix = _classes(_common(back_order, length), length)[left[own], back + gram]
+    prefix = _classes(_common(order, length), length)[right[own], length - back]
+    key = (back * len(back_order) + suffix) * len(order) + prefix
+    sort = np.argsort(key, kind="stable")
+    ordered = key[sort]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.add.reduceat(counts[own[sort]], first)
     again = np.zeros(len(key), bool)
-    again[order[1:][equal]] = True
-    again[order[:-1][equal]] = True
-    again |= times[own] > 1
+    again[sort] = np.repeat(total > 1, np.diff(np.append(first, len(key))))
     start = np.flatnonzero(again & np.concatenate([[True], ~again[:-1] | (own[1:] != own[:-1])]))
     end = np.flatnonzero(again & np.concatenate([~again[1:] | (own[1:] != own[:-1]), [True]]))
-    runs: list[list[tuple[int, int]]] = [[] for _ in pair]
+    runs: list[list[tuple[int, int]]] = [[] for _ in phrases]
     for p, a, b in zip(own[start].tolist(), (most[own[start]] - back[start]).tolist(), (most[own[start]] - back[end]).tolist(), strict=True):
         runs[p].append((a, b))
-    return [runs[p] for p in where.tolist()]
+    return runs
 
 
-def _order_batches(length: int, gram: int, batch_segments: int):
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def _order_batches(length: int, gram: int, batch_phrases: int):
+    """Runs of repeated windows of entries that come sorted by number."""
 
-        def resolved(table: pa.Table) -> pa.RecordBatch:
-            lo, at = np.asarray(table["lo"]), np.asarray(table["at"])
-            runs = repeated_windows([x.as_buffer().to_pybytes() for x in table["bytes"].combine_chunks()], at - lo, length, gram)
-            row = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            a, b = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2).T
-            base = lo[row]
-            return pa.record_batch([table["k1"].combine_chunks().take(row), table["k2"].combine_chunks().take(row), pa.array(base + a), pa.array(base + b + length)], names=["k1", "k2", "s", "e"])
+    def resolved(table: pa.Table) -> pa.RecordBatch:
+        # an entry read from two repeated rows is there twice
+        number = np.stack([np.asarray(table[c]) for c in ("h", "p1", "p2")], axis=1)
+        table = table.take(np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]).any(axis=1)])))
+        data = [x.as_buffer().to_pybytes() for x in table["bytes"].combine_chunks()]
+        runs = repeated_windows(data, np.asarray(table["at"]), np.asarray(table["n"]), length, gram)
+        starts, ends = ([[r[i] for r in own] for own in runs] for i in (0, 1))
+        lists = (pa.array(x, pa.list_(pa.int64())) for x in (starts, ends))
+        return pa.record_batch([*(table[c].combine_chunks() for c in ("h", "p1", "p2")), *lists], names=["h", "p1", "p2", "a", "b"])
 
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n < batch_segments:
+            if n < batch_phrases:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             h = np.asarray(table["h"])
@@ -244,22 +253,17 @@ def _order_batches(length: int, gram: int, batch_segments: int):
 
 
 def _window_batches(length: int):
-    """A 128-bit hash of every window of the segments, and a salt that spreads the windows of a hot trigger over its texts."""
+    """Every window of the entries as an entry of its own."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, lo, data, salts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
-                n = len(data) - length + 1
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                same = lambda x: pa.array([x] * n, pa.int64())  # noqa: B023, E731
-                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), same((k1 ^ k2) % salts), same(k1), same(k2), pa.array(np.arange(lo, lo + n))], names=["w1", "w2", "salt", "k1", "k2", "s"])
-
-    return lambda batches: _merged(hashed(batches))
-
+            for h, p1, p2, n, _, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size = len(data) - length + 1
+                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(size)]), np.int64).reshape(-1, 2)
+                same = (pa.array([x] * size, pa.int64()) for x in (h, p1, p2, n))
+                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), *same, pa.array(np.arange(size))], names=["w1", "w2", "h", "p1", "p2", "n", "i"])
 
-_PLACE = "h long, k1 long, k2 long, lo long, hi long, at long"
-_SEGMENT = "h long, k1 long, k2 long, lo long, at long, bytes binary, salts long"
-_WINDOW = "w1 long, w2 long, salt long, k1 long, k2 long, s long"
+    return lambda batches: _merged(cut(batches))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -268,35 +272,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("k1"), F.xxhash64(text_or_empty()).alias("k2"), text_or_empty().alias("text"))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, batch_segments: int = BATCH_SEGMENTS) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most_phrases: int = MOST_PHRASES, batch_phrases: int = BATCH_PHRASES) -> DataFrame:
     """(k1, k2, s, e): byte spans, overlapping ones too, that windows found elsewhere cover."""
-    spots = texts.where(F.octet_length("text") >= length).mapInArrow(_place_batches(length, gram), _PLACE)
-    spots = materialize(spots, "suffix-places")
-    # a table of its own, so that the join's sides are plain shuffles and Spark can split those of a hot trigger
-    counts = materialize(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-counts")
-    salted = counts.select("h", "n", F.ceil(F.col("n") / most_segments).cast("long").alias("salts"))
-    again = materialize(spots.join(salted, "h"), "suffix-repeated")
-    discard(spots)
-    discard(counts)
-
-    def segments(own: DataFrame) -> DataFrame:
-        # sets: m repeated rows share one list of places, and the join makes m segments of each, not m * m
-        lists = own.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "lo", "hi", "at", "salts")).alias("spots"))
-        cut = _cut_batches(length)
-        return texts.join(lists, ["k1", "k2"]).mapInArrow(lambda batches: _merged(cut(batches)), _SEGMENT)
-
-    usual = segments(again.where(F.col("n") <= most_segments)).repartition("h").sortWithinPartitions("h")
-    spans = usual.mapInArrow(_order_batches(length, gram, batch_segments), "k1 long, k2 long, s long, e long")
-    hot = again.where(F.col("n") > most_segments)
-    if not hot.isEmpty():
-        # all in one plan with the rest, so that the texts are dealt out once; the salt keeps a window that is
-        # everywhere from meeting in one task, and sums by salt are small
-        windows = segments(hot).mapInArrow(_window_batches(length), _WINDOW)
-        sums = windows.groupBy("w1", "w2", "salt").agg(F.count("*").alias("n"))
-        twice = sums.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-        found = sums.select("w1", "w2", "salt").join(twice, ["w1", "w2"])
-        spans = spans.unionByName(windows.join(found, ["w1", "w2", "salt"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
-    return spans
+    longs = lambda names: ", ".join(f"{c} long" for c in names)
+    parse = texts.where(F.octet_length("text") >= length).mapInArrow(_place_batches(length, gram), longs(["k1", "k2", *_PLACE]))
+    parse = materialize(parse, "parse")
+    # sums and dictionaries are tables of their own, so that a join's sides are plain shuffles and Spark can split those
+    # of a number that very many texts have
+    twice = materialize(parse.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "parse-triggers")
+    again = materialize(parse.join(twice, "h"), "parse-repeated")
+    discard(parse)
+    discard(twice)
+    number = ["h", "p1", "p2"]
+    # all first values come from one place
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "lo", "w", "at")]
+    numbers = materialize(again.groupBy(*number).agg(F.count("*").alias("n"), *one), "phrase-numbers")
+    sizes = materialize(numbers.groupBy("h").agg(F.count("*").alias("d")), "phrase-groups")
+    entries = numbers.join(sizes, "h")
+    settled = entries.where("d = 1").select(*number, F.array(F.lit(0).cast("long")).alias("a"), F.array(F.col("w") - 1).alias("b"))
+    chosen = entries.where("d > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct(*number, "n", "d", "at", "lo", "w")).alias("spots"))
+    dictionary = materialize(texts.join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "spots").mapInArrow(_cut_batches(length), longs(_ENTRY[:-1]) + ", bytes binary"), "dictionary")
+    usual = dictionary.where(F.col("d") <= most_phrases).repartition("h").sortWithinPartitions(*number)
+    runs = settled.unionByName(usual.mapInArrow(_order_batches(length, gram, batch_phrases), longs(number) + ", a array<long>, b array<long>"))
+    large = dictionary.where(F.col("d") > most_phrases)
+    if not large.isEmpty():
+        windows = materialize(large.dropDuplicates(number).select(*_ENTRY).mapInArrow(_window_batches(length), longs(["w1", "w2", *number, "n", "i"])), "windows")
+        shared = materialize(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "windows-repeated")
+        found = windows.join(shared, ["w1", "w2"]).groupBy(*number).agg(F.sort_array(F.collect_list("i")).alias("a"))
+        runs = runs.unionByName(found.select(*number, "a", F.col("a").alias("b")))
+    runs = materialize(runs.where(F.size("a") > 0), "phrase-runs")
+    for table in (numbers, sizes, dictionary):
+        discard(table)
+    spans = again.join(runs, number).select("k1", "k2", "lo", F.explode(F.arrays_zip("a", "b")).alias("r"))
+    return spans.select("k1", "k2", (F.col("lo") + F.col("r.a")).alias("s"), (F.col("lo") + F.col("r.b") + length).alias("e"))
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,13 +338,13 @@ def _removal_batches(with_text: bool):
     return removed
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_phrases: int = MOST_PHRASES, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row.
 
     kept is the text that is left; cuts inside a character leave U+FFFD there.
     """
     texts = keyed(docs)
-    spans = repeated_spans(texts, length, gram, most_segments)
+    spans = repeated_spans(texts, length, gram, most_phrases)
     lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("x")).select("k1", "k2", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     rows = texts.join(lists, ["k1", "k2"], "left").select("k1", "text", "s", "e").mapInArrow(_removal_batches(with_text), _RESULT)
     return rows.select(F.nullif("k1", F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
