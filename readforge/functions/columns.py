@@ -88,15 +88,15 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of length ``k`` in order."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of length ``k`` in order, by matches without width: one pass, however long the sequence."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def find_all(seq: Column, pattern: str, start: int = 0, ignore_case: bool = False) -> Column:
     """0-based places where ``pattern`` occurs, overlaps included, from ``start`` on."""
     own, other = (F.upper(seq), pattern.upper()) if ignore_case else (seq, pattern)
-    every = F.when(F.length(seq) >= start + len(other), F.sequence(F.lit(start), F.length(seq) - len(other))).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substring(own, i + 1, F.lit(len(other))) == other)
+    at = F.transform(kmers(own, len(other)), lambda x, i: F.when((x == other) & (i >= start), i))
+    return F.array_compact(at)
 
 
 def homopolymer(seq: Column, start: Column) -> Column:
@@ -187,6 +187,17 @@ def log_add(a: Column, b: Column) -> Column:
     return F.when(high == float("-inf"), high).otherwise(high + F.log1p(F.exp(low - high)))
 
 
+def binomial_survival(q: Column, n: Column, p: float) -> Column:
+    """P[X > q] for a binomial X of ``n`` tries: the terms are added up, each made from the one before."""
+    state = F.struct(F.pow(F.lit(1 - p), n).alias("term"), F.lit(0.0).alias("sum"))
+    odds = p / (1 - p)
+
+    def step(s: Column, k: Column) -> Column:
+        return F.struct((s["term"] * (n - k) / (k + 1) * odds).alias("term"), (s["sum"] + F.when(k > q, s["term"]).otherwise(0.0)).alias("sum"))
+
+    return F.when(q < 0, 1.0).when(q >= n, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), state, step, lambda s: s["sum"]))
+
+
 # ---- CIGAR, flags, offsets
 
 CIGAR_OPS = "MIDNSHP=X"

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "reads": (("documents",), """
 select doc_id as zmw, source as movie,
-       translate(substring(lower(regexp_replace(text, '[^A-Za-z]', ''{replace_all})), 1, 200),
+       translate(lower(regexp_replace(text, '[^A-Za-z]', ''{replace_all})),
                  'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq
 from documents"""),
+    "subreads": (("documents",), """
+select zmw * 1048576 + part as id, zmw, movie, part, substring(seq, cast(part * 200 + 1 as int), 200) as seq
+from (select zmw, movie, seq, {parts} as part from (
+      select doc_id as zmw, source as movie,
+             translate(lower(regexp_replace(text, '[^A-Za-z]', ''{replace_all})),
+                       'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq
+      from documents) r where length(seq) > 0) t"""),
     "intervals": (("lineitem",), """
 select cast(l_suppkey % 5 as int) as rname, cast(l_partkey * 3 as bigint) as t_start,
        cast(l_partkey * 3 + l_quantity as bigint) as t_end from lineitem"""),
@@ -38,8 +45,9 @@ from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on
      join nation n on c.c_nationkey = n.n_nationkey where l_returnflag <> 'N'"""),
 }
 
-SPARK = {"replace_all": "", "text": "string"}
-DUCKDB = {"replace_all": ", 'g'", "text": "varchar"}
+#: ``{parts}`` numbers the sub-reads of up to 200 bases that a read is cut into.
+SPARK = {"replace_all": "", "text": "string", "parts": "explode(sequence(0L, cast((length(seq) - 1) div 200 as bigint)))"}
+DUCKDB = {"replace_all": ", 'g'", "text": "varchar", "parts": "unnest(range(0, (length(seq) + 199) // 200))"}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

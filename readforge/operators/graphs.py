@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readforge.functions.columns import kmers, reverse_complement
+from readforge.operators.kmers import kmer_counts
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -33,7 +34,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def kmer_nodes(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n): how often each k-mer occurs."""
-    return reads.select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmer_counts(reads, k)
 
 
 def de_bruijn_edges(nodes: DataFrame) -> DataFrame:
@@ -50,17 +51,44 @@ def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("kmer").alias("src")), "src", "left_anti").join(gone.select(F.col("kmer").alias("dst")), "dst", "left_anti").select("src", "dst", *[c for c in edges.columns if c not in ("src", "dst")])
 
 
+def _weak_chains(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """(kmer, unit): nodes seen less than ``least`` times that follow each other without a branch share a unit."""
+    weak = nodes.where(F.col("n") < least).select("kmer")
+    inside = unambiguous(edges).join(weak.select(F.col("kmer").alias("src")), "src", "left_semi").join(weak.select(F.col("kmer").alias("dst")), "dst", "left_semi")
+    return path_places(inside, weak).select("kmer", F.col("head").alias("unit"))
+
+
 def erode(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Take away nodes seen less than ``least`` times from the ends of paths, until none is left at an end."""
+    """Take away nodes seen less than ``least`` times from the ends of paths, until none is left at an end.
+
+    A weak path without a branch goes as a whole as soon as one of its ends is open, so such paths are found first, by
+    pointer doubling, and go in one step each; what branched before may then be a path of its own. A circle of weak
+    nodes has no end and stays.
+    """
     nodes, edges = cut_lineage(nodes), cut_lineage(edges)
     while True:
-        out, into = edges.select(F.col("src").alias("kmer")).distinct(), edges.select(F.col("dst").alias("kmer")).distinct()
-        inner = out.join(into, "kmer", "left_semi")
-        gone = cut_lineage(nodes.where(F.col("n") < least).join(inner, "kmer", "left_anti").select("kmer"))
-        if gone.isEmpty():
-            break
-        nodes, edges = cut_lineage(nodes.join(gone, "kmer", "left_anti")), cut_lineage(without_nodes(edges, gone))
-    return nodes, edges
+        units = cut_lineage(_weak_chains(nodes, edges, least))
+        named = lambda c: units.select(F.col("kmer").alias(c), F.col("unit").alias(f"{c}_unit"))  # noqa: E731, B023
+        links = edges.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
+        links = links.select(F.coalesce("src_unit", "src").alias("src"), F.coalesce("dst_unit", "dst").alias("dst"), F.col("src_unit").eqNullSafe(F.col("dst_unit")).alias("same"), (F.col("src") == F.col("dst")).alias("loop"))
+        links = cut_lineage(links.where("loop or not same or src <> dst").select("src", "dst").distinct())
+        weak, gone = units.select("unit").distinct(), None
+        for _ in range(ERODED_AT_ONCE):
+            inner = links.select(F.col("src").alias("unit")).distinct().join(links.select(F.col("dst").alias("unit")).distinct(), "unit", "left_semi")
+            open_ = cut_lineage(weak.join(inner, "unit", "left_anti"))
+            if open_.isEmpty():
+                break
+            weak = cut_lineage(weak.join(open_, "unit", "left_anti"))
+            links = cut_lineage(links.join(open_.select(F.col("unit").alias("src")), "src", "left_anti").join(open_.select(F.col("unit").alias("dst")), "dst", "left_anti"))
+            gone = open_ if gone is None else gone.unionByName(open_)
+        if gone is None:
+            return nodes, edges
+        lost = cut_lineage(units.join(gone, "unit", "left_semi").select("kmer"))
+        nodes, edges = cut_lineage(nodes.join(lost, "kmer", "left_anti")), cut_lineage(without_nodes(edges, lost))
+
+
+#: Steps before paths are looked for again.
+ERODED_AT_ONCE = 6
 
 
 def unambiguous(edges: DataFrame) -> DataFrame:
@@ -197,18 +225,21 @@ def guide_tree(distances: list[list[float]], method: str = "average") -> list[tu
     return edges
 
 
-def sequence_weights(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(leaf, weight) from tree edges (child, parent, length): path length to the root over the mean, reciprocal."""
-    leaves = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
-    walk = leaves.select(F.col("child").alias("leaf"), F.col("parent").alias("at"), "length")
-    done = None
-    for _ in range(max_depth):
-        up = edges.select(F.col("child").alias("at"), F.col("parent").alias("next"), F.col("length").alias("more"))
-        step = cut_lineage(walk.join(up, "at", "left"))
-        ended = step.where("next is null").select("leaf", "length")
-        done = ended if done is None else done.unionByName(ended)
-        walk = step.where("next is not null").select("leaf", F.col("next").alias("at"), (F.col("length") + F.col("more")).alias("length"))
-        if walk.isEmpty():
+def sequence_weights(edges: DataFrame) -> DataFrame:
+    """(leaf, weight) from tree edges (child, parent, length): path length to the root over the mean, reciprocal.
+
+    Pointer doubling: a node learns the length to the node twice as far up in each round, so trees of any depth end
+    after its logarithm. An edge list with a circle has no root there; that is an error.
+    """
+    state = cut_lineage(edges.select("child", F.col("parent").alias("up"), F.col("length").cast("double").alias("length")))
+    for _ in range(state.count().bit_length() + 1):
+        far = state.select(F.col("child").alias("up"), F.col("up").alias("_up"), F.col("length").alias("_length"))
+        state = cut_lineage(state.join(far, "up", "left").select("child", F.coalesce("_up", "up").alias("up"), (F.col("length") + F.coalesce("_length", F.lit(0.0))).alias("length"), F.col("_up").isNotNull().alias("_open")))
+        if state.where("_open").isEmpty():
             break
-    whole = W.partitionBy()
-    return done.select("leaf", (1 / (F.col("length") * F.count("*").over(whole) / F.sum("length").over(whole))).alias("weight"))
+        state = state.drop("_open")
+    else:
+        raise ValueError("the edges hold a circle")
+    leaves = state.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
+    mean = leaves.agg(F.avg("length").alias("mean"))
+    return leaves.join(F.broadcast(mean)).select(F.col("child").alias("leaf"), (F.col("mean") / F.col("length")).alias("weight"))

@@ -7,21 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def steps(intervals: DataFrame, key: str = "rname", start: str = "t_start", end: str = "t_end") -> DataFrame:
-    """(key, pos, depth): positions where the depth changes, from +1 and -1 events.
+#: Positions whose events one task orders; sums over such bins carry the depth on to the next.
+BIN = 1 << 16
 
-    Events are summed by position before anything is ordered, so a position's intervals meet as one row.
+
+def depth_runs(intervals: DataFrame, key: str = "rname", start: str = "t_start", end: str = "t_end", width: int = BIN) -> DataFrame:
+    """(key, start, end, depth) with depth above 0; no row holds a position twice.
+
+    +1 and -1 events are summed by position before anything is ordered, so a position's intervals meet as one row.
+    Only a bin's events are ordered in one task: the depth before a bin is the sum of the bins before.
     """
     valid = intervals.where(F.col(start) < F.col(end))
     events = valid.select(key, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    net = events.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    return net.withColumn("depth", F.sum("d").over(W.partitionBy(key).orderBy("pos"))).drop("d")
-
-
-def depth_runs(intervals: DataFrame, key: str = "rname", start: str = "t_start", end: str = "t_end") -> DataFrame:
-    """(key, start, end, depth) with depth above 0; no row holds a position twice."""
-    own = W.partitionBy(key).orderBy("pos")
-    return steps(intervals, key, start, end).withColumn("end", F.lead("pos").over(own)).where("depth > 0").select(key, F.col("pos").alias("start"), "end", "depth")
+    net = events.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0").withColumn("_bin", F.floor(F.col("pos") / width))
+    bins = W.partitionBy(key).orderBy("_bin")
+    sums = net.groupBy(key, "_bin").agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
+    ahead = sums.select(key, "_bin", (F.sum("_sum").over(bins) - F.col("_sum")).alias("_before"), F.lead("_first").over(bins).alias("_next"))
+    own = W.partitionBy(key, "_bin").orderBy("pos")
+    placed = net.withColumns({"depth": F.sum("d").over(own), "end": F.lead("pos").over(own)}).join(ahead, [key, "_bin"])
+    runs = placed.select(key, F.col("pos").alias("start"), F.coalesce("end", "_next").alias("end"), (F.col("depth") + F.col("_before")).alias("depth"))
+    return runs.where("depth > 0")
 
 
 def window_coverage(intervals: DataFrame, window_start: int, window_length: int, key: str = "rname", start: str = "t_start", end: str = "t_end") -> DataFrame:
@@ -41,11 +46,9 @@ def covered(intervals: DataFrame, least: int, key: str = "rname", start: str = "
         if least <= 0:
             return intervals.select(key).distinct().select(key, F.lit(window[0]).cast("long").alias("start"), F.lit(window[1]).cast("long").alias("end"))
         intervals = clipped(intervals, *window, start, end)
-    own = W.partitionBy(key).orderBy("start")
     deep = depth_runs(intervals, key, start, end).where(F.col("depth") >= max(least, 1))
-    new = deep.withColumn("_new", F.when(F.lag("end").over(own) == F.col("start"), 0).otherwise(1))
-    island = new.withColumn("_island", F.sum("_new").over(own))
-    return island.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    # runs that touch cancel where they meet, so what is left are the maximal ones
+    return depth_runs(deep.select(key, "start", "end"), key, "start", "end").drop("depth")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, left_cols: tuple[str, str], right_cols: tuple[str, str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +22,58 @@ def kmer_index(reads: DataFrame, k: int, id_col: str = "zmw", seq: str = "seq")
     return kmer_positions(reads, k, id_col, seq).groupBy("kmer", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def _windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bytes (one number, or ``k`` bytes if that is too long for one) of every k-mer of ASCII sequences."""
+    raw = [s.as_buffer() if s.is_valid else b"" for s in seqs]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    n = np.maximum(sizes - k + 1, 0)
+    row = np.repeat(np.arange(len(raw)), n)
+    first = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(len(row))
+    if k <= 8:
+        code = np.zeros(len(first), np.uint64)
+        for i in range(k):
+            code = code << np.uint64(8) | data[first + i]
+        return row, code
+    return row, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k)[first]).view(f"S{k}").ravel() if len(first) else np.zeros(0, f"S{k}")
+
+
+def _texts(codes: np.ndarray, k: int) -> pa.Array:
+    if codes.dtype.kind == "S":
+        return pa.array(codes.tolist(), pa.binary()).cast(pa.string())
+    return pa.array([int(c).to_bytes(k, "big") for c in codes], pa.binary()).cast(pa.string())
+
+
 def kmer_frequencies(reads: DataFrame, k: int, id_col: str = "zmw", seq: str = "seq") -> DataFrame:
-    """(id, kmer, n, share): counts over the sequence's number of k-mers; no window, the total follows from the length."""
-    counts = reads.select(F.col(id_col).alias("id"), (F.length(seq) - k + 1).alias("total"), F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy("id", "total", "kmer").agg(F.count("*").alias("n"))
-    return counts.select("id", "kmer", "n", (F.col("n") / F.col("total")).alias("share"))
+    """(id, kmer, n, share) of each row of ASCII sequences: counts over the sequence's number of k-mers.
+
+    All k-mers of a sequence are in its row, so they are counted there and nothing is shuffled.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                row, code = _windows(part.column(1), k)
+                order = np.lexsort((code, row))
+                row, code = row[order], code[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(row)))
+                total = np.bincount(row, minlength=part.num_rows)[row[first]]
+                yield pa.record_batch([part.column(0).take(pa.array(row[first])), _texts(code[first], k), pa.array(n), pa.array(n / total)], names=["id", "kmer", "n", "share"])
+
+    return reads.select(F.col(id_col).cast("long"), F.col(seq)).mapInArrow(counted, "id long, kmer string, n long, share double")
+
+
+def kmer_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, n): how often each k-mer of ASCII sequences occurs; batches count their own before anything is shuffled."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = np.unique(_windows(batch.column(0), k)[1], return_counts=True)
+            yield pa.record_batch([_texts(code, k), pa.array(n)], names=["kmer", "n"])
+
+    return reads.select(F.col(seq)).mapInArrow(counted, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def kmer_distances(frequencies: DataFrame, queries: DataFrame) -> DataFrame:
@@ -36,8 +88,8 @@ def kmer_distances(frequencies: DataFrame, queries: DataFrame) -> DataFrame:
     return with_norms.select("a", "b", F.sqrt(F.greatest(F.lit(0.0), F.col("na") + F.col("nb") - 2 * F.col("dot"))).alias("distance"))
 
 
-def seed_matches(queries: DataFrame, references: DataFrame, k: int, unique_in_reference: bool = False) -> DataFrame:
-    """(query, ref, diagonal, q_start, length): maximal exact matches of at least ``k`` bases.
+def seed_matches(queries: DataFrame, references: DataFrame, k: int, unique_in_reference: bool = False, wanted: Column | None = None) -> DataFrame:
+    """(query, ref, diagonal, q_start, length): maximal exact matches of at least ``k`` bases; wanted: a condition on query and ref.
 
     Seeds are an equi join on k-mers; runs of seeds on one diagonal are merged as islands.
     """
@@ -46,30 +98,29 @@ def seed_matches(queries: DataFrame, references: DataFrame, k: int, unique_in_re
     ref = kmer_positions(references, k, "id", "seq").select(F.col("id").alias("ref"), F.col("pos").alias("r_pos"), "kmer")
     if unique_in_reference:
         ref = ref.join(ref.groupBy("ref", "kmer").count().where("count = 1").drop("count"), ["ref", "kmer"])
-    hits = kmer_positions(queries, k, "id", "seq").select(F.col("id").alias("query"), F.col("pos").alias("q_pos"), "kmer").join(ref, "kmer")
+    hits = kmer_positions(queries, k, "id", "seq").select(F.col("id").alias("query"), F.col("pos").alias("q_pos"), "kmer").join(ref, "kmer").where(F.lit(True) if wanted is None else wanted)
     diagonal = hits.select("query", "ref", (F.col("r_pos") - F.col("q_pos")).alias("diagonal"), "q_pos")
     own = W.partitionBy("query", "ref", "diagonal").orderBy("q_pos")
     island = diagonal.withColumn("island", F.col("q_pos") - F.row_number().over(own))
     return island.groupBy("query", "ref", "diagonal", "island").agg(F.min("q_pos").alias("q_start"), (F.max("q_pos") - F.min("q_pos") + k).alias("length")).drop("island")
 
 
-# Hundredths of the distance for shares of 0.750, 0.751, ... 0.930 of different residues.
-FAR_DISTANCES = """
-195 196 197 198 199 200 200 201 202 203 204 205 206 207 208 209 209 210 211 212
-213 214 215 216 217 218 219 220 221 222 223 224 226 227 228 229 230 231 232 233
-234 236 237 238 239 240 241 243 244 245 246 248 249 250 252 253 254 255 257 258
-260 261 262 264 265 267 268 270 271 273 274 276 277 279 281 282 284 285 287 289
-291 292 294 296 298 299 301 303 305 307 309 311 313 315 317 319 321 323 325 328
-330 332 335 337 339 342 344 347 349 352 354 357 360 362 365 368 371 374 377 380
-383 386 389 393 396 399 403 407 410 414 418 422 426 430 434 438 442 447 451 456
-461 466 471 476 482 487 493 498 504 511 517 524 531 538 545 553 560 569 577 586
-595 605 615 626 637 649 661 675 688 703 719 736 754 775 796 819 845 874 907 945
-988
-"""
+#: Hundredths of the distance for shares of 0.750, 0.751, ... 0.930 of different residues.
+FAR_DISTANCES = (
+    195, 196, 197, 198, 199, 200, 200, 201, 202, 203, 204, 205, 206, 207, 208, 209, 209, 210, 211, 212,
+    213, 214, 215, 216, 217, 218, 219, 220, 221, 222, 223, 224, 226, 227, 228, 229, 230, 231, 232, 233,
+    234, 236, 237, 238, 239, 240, 241, 243, 244, 245, 246, 248, 249, 250, 252, 253, 254, 255, 257, 258,
+    260, 261, 262, 264, 265, 267, 268, 270, 271, 273, 274, 276, 277, 279, 281, 282, 284, 285, 287, 289,
+    291, 292, 294, 296, 298, 299, 301, 303, 305, 307, 309, 311, 313, 315, 317, 319, 321, 323, 325, 328,
+    330, 332, 335, 337, 339, 342, 344, 347, 349, 352, 354, 357, 360, 362, 365, 368, 371, 374, 377, 380,
+    383, 386, 389, 393, 396, 399, 403, 407, 410, 414, 418, 422, 426, 430, 434, 438, 442, 447, 451, 456,
+    461, 466, 471, 476, 482, 487, 493, 498, 504, 511, 517, 524, 531, 538, 545, 553, 560, 569, 577, 586,
+    595, 605, 615, 626, 637, 649, 661, 675, 688, 703, 719, 736, 754, 775, 796, 819, 845, 874, 907, 945,
+    988,
+)
 
 
 def kimura(p: Column) -> Column:
     """Evolutionary distance of a share ``p`` of different residues: a formula, then a table, then ten."""
-    table = F.split(F.lit(" ".join(FAR_DISTANCES.split())), " ")
-    listed = F.element_at(table, F.floor((p - 0.75) * 1000 + 0.5).cast("int") + 1).cast("double") / 100
+    listed = F.element_at(F.lit(list(FAR_DISTANCES)), F.floor((p - 0.75) * 1000 + 0.5).cast("int") + 1).cast("double") / 100
     return F.when(p < 0.75, -F.log(1 - p - p * p / 5)).when(p > 0.93, F.lit(10.0)).otherwise(listed)

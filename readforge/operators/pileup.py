@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASES = "ACGTN-"
@@ -42,18 +42,19 @@ def genotypes(bases: DataFrame) -> DataFrame:
     return out.select(*_KEY, "status", F.when(called, first).alias("genotype"), *[F.when(called, F.col(f"n{b}") / F.col("n")).alias(f"f{b}") for b in "ACGT"])
 
 
-def em_frequencies(bases: np.ndarray, phred: np.ndarray, tolerance: float = 1e-3, most_rounds: int = 1000) -> tuple[np.ndarray, int]:
-    """Allele frequencies that take base qualities into account, by expectation maximisation."""
+def em_frequencies(bases: np.ndarray, phred: np.ndarray, counts: np.ndarray | None = None, tolerance: float = 1e-3, most_rounds: int = 1000) -> tuple[np.ndarray, int]:
+    """Allele frequencies that take base qualities into account, by expectation maximisation; counts: how often each (base, phred) is there."""
+    counts = np.ones(len(bases)) if counts is None else counts
     error = 10.0 ** (-phred / 10)
     given = np.where(bases[:, None] == np.arange(4)[None, :], (1 - error)[:, None], (error / 3)[:, None])
-    theta = np.bincount(bases, minlength=4)[:4] / len(bases)
+    theta = np.bincount(bases, counts, 4)[:4] / counts.sum()
     before, rounds = -np.inf, 0
     while rounds < most_rounds:
         joint = theta * given
         total = joint.sum(axis=1)
-        now = float(np.log(total).sum())
+        now = float(counts @ np.log(total))
         rounds += 1
-        theta = (joint / total[:, None]).mean(axis=0)
+        theta = counts @ (joint / total[:, None]) / counts.sum()
         if now - before <= tolerance:
             break
         before = now
@@ -61,14 +62,17 @@ def em_frequencies(bases: np.ndarray, phred: np.ndarray, tolerance: float = 1e-3
 
 
 def refined_genotypes(bases: DataFrame) -> DataFrame:
-    """(rname, pos, eA, eC, eG, eT, rounds) of the positions that are called, refined where two bases were seen."""
+    """(rname, pos, eA, eC, eG, eT, rounds) of the positions that are called, refined where two bases were seen.
+
+    Equal bases of one quality are counted first, so a position is a few hundred rows however deep its pile-up is.
+    """
     called = genotypes(bases).where("status = 'GenotypeCalled'").select(*_KEY)
-    good = bases.where((F.col("base") < N) & (F.col("phred") > LEAST_QUALITY)).join(called, _KEY, "left_semi")
+    good = bases.where((F.col("base") < N) & (F.col("phred") > LEAST_QUALITY)).groupBy(*_KEY, "base", "phred").agg(F.count("*").alias("n")).join(called, _KEY, "left_semi")
 
     def refine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["base", "phred"])
-        b, q = pdf["base"].to_numpy(), pdf["phred"].to_numpy(float)
-        theta, rounds = (np.bincount(b, minlength=4)[:4] / len(b), 0) if len(set(b)) == 1 else em_frequencies(b, q)
+        b, q, n = pdf["base"].to_numpy(), pdf["phred"].to_numpy(float), pdf["n"].to_numpy(float)
+        theta, rounds = (np.bincount(b, n, 4)[:4] / n.sum(), 0) if len(set(b)) == 1 else em_frequencies(b, q, n)
         return pd.DataFrame([[*key, *map(float, theta), rounds]], columns=[*_KEY, "eA", "eC", "eG", "eT", "rounds"])
 
     return good.groupBy(*_KEY).applyInPandas(refine, "rname string, pos int, eA double, eC double, eG double, eT double, rounds int")
@@ -102,6 +106,13 @@ def ambiguous_consensus(column: list[str]) -> str:
     return codes.get(frozenset(whole), "X")
 
 
+def ambiguous_residue(residues: Column) -> Column:
+    """The same for an array column."""
+    whole = F.array_sort(F.array_distinct(F.flatten(F.transform(residues, lambda c: F.coalesce(*[F.when(c == k, F.array(*[F.lit(x) for x in v])) for k, v in AMBIGUOUS.items()], F.array(c))))))
+    text = F.array_join(whole, "")
+    return F.coalesce(F.when(F.size(whole) == 1, text), *[F.when(text == "".join(sorted(v)), k) for k, v in AMBIGUOUS.items()], F.lit("X"))
+
+
 def batches_of_pileups(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pile-ups as they stream in, each with its majority sign; no state is kept between batches."""
     for pdf in rows:

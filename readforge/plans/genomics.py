@@ -25,18 +25,24 @@ def covered_intervals(spark, sf, i):
     return I.covered(i, 8)
 
 
-@query("j9_overlap_join", """select a.rname, count(*) as pairs, cast(sum(least(a.t_end, b.t_end) - greatest(a.t_start, b.t_start)) as bigint) as shared from (select * from intervals where t_start < 900) a
-    join (select * from intervals where t_start % 7 = 0) b on a.rname = b.rname and a.t_start < b.t_end and b.t_start < a.t_end group by a.rname""", IV)
+BINNED = "(select *, unnest(range(t_start // 64, (t_end - 1) // 64 + 1)) as bin from (select rname, t_start, t_end, count(*) as n from intervals where t_start < t_end group by all))"
+
+
+@query("j9_overlap_join", f"""select a.rname, cast(sum(a.n * b.n) as bigint) as pairs, cast(sum(a.n * b.n * (least(a.t_end, b.t_end) - greatest(a.t_start, b.t_start))) as bigint) as shared from {BINNED} a
+    join {BINNED} b on a.rname = b.rname and a.bin = b.bin and a.t_start < b.t_end and b.t_start < a.t_end and greatest(a.t_start, b.t_start) // 64 = a.bin group by a.rname""", IV)
 def overlap_join(spark, sf, i):
-    right = i.where("t_start % 7 = 0").select("rname", F.col("t_start").alias("s2"), F.col("t_end").alias("e2"))
-    both = I.overlap_join(i.where("t_start < 900"), right, "rname", 64, ("t_start", "t_end"), ("s2", "e2"))
-    return both.groupBy("rname").agg(F.count("*").alias("pairs"), F.sum(F.least("t_end", "e2") - F.greatest("t_start", "s2")).alias("shared"))
+    """All pairs of overlapping intervals; equal intervals are joined once, with their number."""
+    own = i.groupBy("rname", "t_start", "t_end").agg(F.count("*").alias("n"))
+    right = own.select("rname", F.col("t_start").alias("s2"), F.col("t_end").alias("e2"), F.col("n").alias("n2"))
+    both = I.overlap_join(own, right, "rname", 64, ("t_start", "t_end"), ("s2", "e2"))
+    n = F.col("n") * F.col("n2")
+    return both.groupBy("rname").agg(F.sum(n).alias("pairs"), F.sum(n * (F.least("t_end", "e2") - F.greatest("t_start", "s2"))).alias("shared"))
 
 
-@query("j10_containment", "select a.rname, a.t_start, b.pos from (select distinct rname, t_start, t_end from intervals where t_start < 300) a join (select distinct cast(substring(rname, 4) as int) as r, pos from pileup_bases) b on a.rname = b.r and b.pos >= a.t_start and b.pos < a.t_end", IV + PB)
+@query("j10_containment", "select a.rname, a.t_start, b.pos from (select distinct rname, t_start, t_end from intervals) a join (select distinct cast(substring(rname, 4) as int) as r, pos from pileup_bases) b on a.rname = b.r and b.pos >= a.t_start and b.pos < a.t_end", IV + PB)
 def containment(spark, sf, i, p):
     points = p.select(F.substring("rname", 4, 9).cast("int").alias("rname"), "pos").distinct().select("rname", F.col("pos").cast("long").alias("s2"), (F.col("pos") + 1).cast("long").alias("e2"))
-    spans = i.where("t_start < 300").distinct()
+    spans = i.distinct()
     return I.overlap_join(spans, points, "rname", 32, ("t_start", "t_end"), ("s2", "e2")).select("rname", "t_start", F.col("s2").cast("int").alias("pos"))
 
 
@@ -61,6 +67,11 @@ def genotypes(spark, sf, p):
     return P.genotypes(p)
 
 
+#: Frequencies of the same pile-ups, and no genotype; also where gaps are too many.
+GENOTYPES_OF_PILES = f"""select rname, pos, case when gaps >= 0.1 then 'TooManyGaps' when n = 0 then 'NoData' else 'GenotypeCalled' end as status, """ + ", ".join(f"case when n > 0 then n{b}::double / n end as f{b}" for b in "ACGT") + f""" from (select rname, pos,
+    avg(case when base = 5 then 1.0::double else 0 end) as gaps, count(*) filter (where {GOOD}) as n, """ + ", ".join(f"count(*) filter (where {GOOD} and base = {i}) as n{b}" for i, b in enumerate("ACGT")) + " from pileup_bases group by rname, pos)"
+
+
 @query("g2_em_refinement", None, PB)
 def em_refinement(spark, sf, p):
     return P.refined_genotypes(p)
@@ -88,44 +99,64 @@ def kmer_frequencies(spark, sf, reads):
 FREQ = f"(select zmw as id, kmer, count(*)::double / total as share from {KMER} group by zmw, total, kmer)"
 
 
-@query("m4_kmer_distances", f"""select a, b, round(sqrt(greatest(0, na.norm + nb.norm - 2 * dot)), 6) as distance from (select x.id as a, y.id as b, sum(x.share * y.share) as dot from {FREQ} x join {FREQ} y
+DISTANCES = f"""select a, b, round(sqrt(greatest(0, na.norm + nb.norm - 2 * dot)), 6) as distance from (select x.id as a, y.id as b, sum(x.share * y.share) as dot from {FREQ} x join {FREQ} y
     on x.kmer = y.kmer and y.id > x.id where x.id % 100 = 0 group by 1, 2) join (select id, sum(share * share) as norm from {FREQ} group by id) na on na.id = a
-    join (select id, sum(share * share) as norm from {FREQ} group by id) nb on nb.id = b""", READS)
+    join (select id, sum(share * share) as norm from {FREQ} group by id) nb on nb.id = b"""
+
+
+@query("m4_kmer_distances", DISTANCES, READS)
 def kmer_distances(spark, sf, reads):
     """Sequences whose id is divisible by 100, against all."""
     f = K.kmer_frequencies(reads, 4)
     return K.kmer_distances(f, f.where("id % 100 = 0").select("id").distinct()).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("q2_j11_seed_matches", None, READS)
-def seed_matches(spark, sf, reads):
-    """Exact matches of 16 bases and more between the reads of each source and its first three reads."""
-    from pyspark.sql import Window as W
+def exact_matches_sql(k: int, unique: bool = False) -> str:
+    """Exact matches of ``k`` bases and more of the reads whose id is divisible by 100 with all others, as islands of k-mers."""
+    kmers = f"(select zmw, i - 1 as pos, substring(seq, i, {k}) as kmer from (select zmw, seq, unnest(range(1, length(seq) - {k - 2})) as i from reads where length(seq) >= {k}))"
+    refs = f"(select zmw, min(pos) as pos, kmer from {kmers} group by zmw, kmer having count(*) = 1)" if unique else kmers
+    hits = f"select q.zmw as query, r.zmw as ref, r.pos - q.pos as diagonal, q.pos as q_pos from (select * from {kmers} where zmw % 100 = 0) q join {refs} r on q.kmer = r.kmer and q.zmw <> r.zmw"
+    return f"select query, ref, diagonal, min(q_pos) as q_start, max(q_pos) - min(q_pos) + {k} as length from (select *, q_pos - row_number() over (partition by query, ref, diagonal order by q_pos) as island from ({hits})) group by query, ref, diagonal, island"
 
-    own = reads.where("length(seq) >= 16")
-    refs = own.withColumn("r", F.row_number().over(W.partitionBy("movie").orderBy("zmw"))).where("r <= 3").select(F.col("zmw").alias("id"), "seq")
-    return K.seed_matches(own.select(F.col("zmw").alias("id"), "seq"), refs, 16).where("query <> ref")
+
+def matched(reads, k: int, unique: bool = False):
+    own = reads.select(F.col("zmw").alias("id"), "seq")
+    return K.seed_matches(own.where("id % 100 = 0"), own, k, unique, F.col("query") != F.col("ref")).select("query", "ref", F.col("diagonal").cast("long").alias("diagonal"), F.col("q_start").cast("long").alias("q_start"), F.col("length").cast("long").alias("length"))
+
+
+@query("q1_exact_matches", exact_matches_sql(20), READS)
+def exact_matches(spark, sf, reads):
+    """Matches of 20 bases and more of the reads whose id is divisible by 100 with all other reads."""
+    return matched(reads, 20)
+
+
+@query("q2_j11_seed_matches", exact_matches_sql(20, True), READS)
+def seed_matches(spark, sf, reads):
+    """The same from k-mers that occur once in the reference read."""
+    return matched(reads, 20, True)
 
 
-PADDED = "(select zmw, rpad(seq, 200, '-') as s from reads)"
-IDENTITY = "len(list_filter(range(1, 201), lambda i: substring(a.s, i, 1) = substring(b.s, i, 1) and substring(a.s, i, 1) <> '-')) / 200.0::double"
+BASE_AT = "(select zmw, length(seq) as n, unnest(range(1, length(seq) + 1)) as i, unnest(string_split(seq, '')) as c from reads where length(seq) > 0)"
 
 
 @query("m1_m3_kimura_matrix", f"""select x, y, same, case when 1 - same < 0.75 then round(-ln(same - (1 - same) * (1 - same) / 5), 6) when 1 - same > 0.93 then 10.0 else
-    [{', '.join(K.FAR_DISTANCES.split())}][cast(floor((1 - same - 0.75) * 1000 + 0.5) as int) + 1]::double / 100 end as distance
-    from (select a.zmw as x, b.zmw as y, {IDENTITY} as same from {PADDED} a join {PADDED} b on b.zmw > a.zmw where a.zmw % 100 = 0)""", READS)
+    {list(K.FAR_DISTANCES)}[cast(floor((1 - same - 0.75) * 1000 + 0.5) as int) + 1]::double / 100 end as distance
+    from (select p.x, p.y, coalesce(m.same, 0) / p.n::double as same from (select a.zmw as x, b.zmw as y, greatest(length(a.seq), length(b.seq)) as n from reads a join reads b on b.zmw > a.zmw where a.zmw % 100 = 0 and greatest(length(a.seq), length(b.seq)) > 0) p
+    left join (select a.zmw as x, b.zmw as y, count(*) as same from {BASE_AT} a join {BASE_AT} b on a.i = b.i and a.c = b.c and b.zmw > a.zmw where a.zmw % 100 = 0 group by 1, 2) m on m.x = p.x and m.y = p.y)""", READS)
 def kimura_matrix(spark, sf, reads):
-    """The triangular matrix's rows for the reads whose id is divisible by 100, against all reads."""
-    padded = reads.select("zmw", F.rpad("seq", 200, "-").alias("s"))
-    both = padded.where("zmw % 100 = 0").select(F.col("zmw").alias("x"), F.col("s").alias("a")).join(padded.select(F.col("zmw").alias("y"), F.col("s").alias("b")), F.col("y") > F.col("x"))
-    same = both.select("x", "y", C.percent_identity(F.col("a"), F.col("b")).alias("same"))
+    """The triangular matrix's rows for the reads whose id is divisible by 100, against all reads; the shorter is padded with gaps."""
+    split = reads.select("zmw", F.length("seq").alias("n"), F.split("seq", "").alias("s"))
+    both = split.where("zmw % 100 = 0").select(F.col("zmw").alias("x"), F.col("s").alias("a"), F.col("n").alias("na")).join(split.select(F.col("zmw").alias("y"), F.col("s").alias("b"), F.col("n").alias("nb")), F.col("y") > F.col("x"))
+    n = F.greatest("na", "nb")
+    equal = F.aggregate(F.zip_with("a", "b", lambda u, v: F.when(u == v, 1).otherwise(0)), F.lit(0), lambda t, e: t + e)
+    same = both.where(n > 0).select("x", "y", (equal / n).alias("same"))
     d = K.kimura(1 - F.col("same"))
     return same.select("x", "y", "same", F.when(1 - F.col("same") < 0.75, F.round(d, 6)).otherwise(d).alias("distance"))
 
 
-@query("o10_o11_nearest", None, READS)
+@query("o10_o11_nearest", f"""select a, arg_min(b, (distance, b)) as b, min(distance) as distance from (select a, b, distance from ({DISTANCES}) union all select b, a, distance from ({DISTANCES}) where b % 100 = 0) group by a""", READS)
 def nearest(spark, sf, reads):
     """The nearest of all sequences for each whose id is divisible by 100; ties go to the smaller id."""
     d = kmer_distances(spark, sf, reads)
-    both = d.select("a", "b", "distance").unionByName(d.join(d.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    both = d.select("a", "b", "distance").unionByName(d.where("b % 100 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     return both.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"), F.min("distance").alias("distance"))

@@ -18,86 +18,90 @@ from readforge.sources import formats
 from readforge.streaming import adapters
 
 from .registry import query, table
-from .scalars import quals
+from .genomics import GENOTYPES_OF_PILES, matched
+from .scalars import PROTEIN, quals, translate_dna
 
 READS, R, V, PB = ("reads",), ("read_report",), ("variants",), ("pileup_bases",)
 
 
-def own_reads(reads):
-    return reads.where("length(seq) >= 40").select(F.col("zmw").alias("id"), "seq", "movie")
+SUB = ("subreads",)
+#: Bases a sub-read and a reference have to share in a row before they are aligned: the usual length of an exact match.
+SEED = 20
 
 
-def templates(reads):
-    """Three templates: the reads of the smallest numbers."""
-    return own_reads(reads).orderBy("id").limit(3).select("id", "seq")
+def aligned(sub):
+    """Best alignments of the sub-reads whose read number is divisible by 100 with the sub-reads of all other reads."""
+    other = F.shiftright("id", 20) != F.shiftright("ref", 20)
+    return A.best_alignments(A.align_to_references(sub.where("zmw % 100 = 0").select("id", "seq"), sub.select("id", "seq"), SEED, other))
 
 
 # ---- alignment
 
 
-@query("q8_q10_q20_best_alignments", None, READS)
-def best_alignments(spark, sf, reads):
-    best = A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads)))
-    return best.select("id", "ref", "orientation", "score", "ref_start", "ref_end")
+@query("q8_q10_q20_best_alignments", None, SUB)
+def best_alignments(spark, sf, sub):
+    return aligned(sub).select("id", "ref", "orientation", "score", "ref_start", "ref_end")
 
 
-@query("q16_alignment_statistics", None, READS)
-def alignment_statistics(spark, sf, reads):
-    best = A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads)))
+@query("q16_alignment_statistics", None, SUB)
+def alignment_statistics(spark, sf, sub):
     n = lambda c: F.length(F.regexp_replace("transcript", f"[^{c}]", ""))
-    return best.select("id", n("M").alias("matches"), n("R").alias("mismatches"), n("I").alias("insertions"), n("D").alias("deletions"), F.length("transcript").alias("length"), (n("M") / F.length("transcript")).alias("accuracy"))
+    return aligned(sub).select("id", n("M").alias("matches"), n("R").alias("mismatches"), n("I").alias("insertions"), n("D").alias("deletions"), F.length("transcript").alias("length"), (n("M") / F.length("transcript")).alias("accuracy"))
 
 
-@query("q21_orientation", None, READS)
-def orientation(spark, sf, reads):
-    """NoAln for reads without an alignment; counts by label."""
-    best = A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads))).select("id", "orientation")
-    return own_reads(reads).select("id").join(best, "id", "left").groupBy(F.coalesce("orientation", F.lit("NoAln")).alias("orientation")).agg(F.count("*").alias("n"))
+@query("q9_rescored_alignments", "select zmw, (length(t) - length(replace(t, 'M', ''))) * 3 - (length(t) - length(replace(t, 'R', ''))) * 7 - 10 * (len(regexp_extract_all(t, 'I+')) + len(regexp_extract_all(t, 'D+'))) - 8 * (length(t) - length(replace(replace(t, 'I', ''), 'D', ''))) as score from (select zmw, translate(seq, 'ACGT', 'MRID') as t from reads)", READS)
+def rescored(spark, sf, reads):
+    """The score of transcripts under a matrix and gap costs; each read's bases are taken for moves."""
+    return reads.select("zmw", A.rescored(F.translate("seq", "ACGT", "MRID")).alias("score"))
 
 
-@query("q22_s20_variant_report", None, READS)
-def variant_report(spark, sf, reads):
-    return formats.variant_report(A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads))))
+@query("q21_orientation", None, SUB)
+def orientation(spark, sf, sub):
+    """Counts by label: NoAln for sub-reads without an alignment; references of the adapter are skipped."""
+    asked = sub.where("zmw % 100 = 0").select("id")
+    named = sub.select(F.col("id").alias("ref"), F.when(F.col("movie") == "web", "SmrtBellSequence").otherwise(F.coalesce("movie", F.lit("none"))).alias("reference"))
+    best = aligned(sub).select("id", "ref", "reversed").join(named, "ref")
+    label = A.orientation_label(F.col("ref"), F.col("reference"), F.col("reversed"))
+    return asked.join(best, "id", "left").select(label.alias("orientation")).where("orientation is not null").groupBy("orientation").agg(F.count("*").alias("n"))
 
 
-@query("s19_a8_read_report", None, READS)
-def error_report(spark, sf, reads):
+@query("q22_s20_variant_report", None, SUB)
+def variant_report(spark, sf, sub):
+    return formats.variant_report(aligned(sub))
+
+
+@query("s19_a8_read_report", None, SUB)
+def error_report(spark, sf, sub):
     """Reads to references, variants and counts: the error report from end to end."""
-    best = A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads)))
-    return formats.read_report(best, F.lit("m0"))
+    return formats.read_report(aligned(sub), F.lit("m0"))
+
+
+@query("s21_subread_report", "select zmw, reference, cast(sum(num_errors) as bigint) as num_errors, cast(sum(length) as bigint) as length, cast(sum(num_indel_errors) as bigint) as num_indel_errors, cast(sum(num_snp_errors) as bigint) as num_snp_errors, count(*) as num_subreads from read_report group by zmw, reference", R)
+def subread_report(spark, sf, r):
+    """The earlier report: no movie, and how many rows a read has."""
+    return formats.subread_report(r)
 
 
-@query("q23_position_lookup", None, READS)
-def position_lookup(spark, sf, reads):
-    """Where base 20 of the reference is in each read's best alignment, from the transcript by expressions."""
-    best = A.best_alignments(A.align_to_references(own_reads(reads).select("id", "seq"), templates(reads)))
+@query("q23_position_lookup", None, SUB)
+def position_lookup(spark, sf, sub):
+    """Where base 20 of the reference is in each sub-read's best alignment, from the transcript by expressions."""
     state = F.struct(F.col("ref_start").alias("t"), F.lit(0).alias("q"), F.lit(None).cast("int").alias("at"))
 
     def step(s, c):
         here = (s["t"] == 20) & (c != "I") & s["at"].isNull()
         return F.struct((s["t"] + F.when(c == "I", 0).otherwise(1)).alias("t"), (s["q"] + F.when(c == "D", 0).otherwise(1)).alias("q"), F.when(here & (c != "D"), s["q"]).otherwise(s["at"]).alias("at"))
 
-    return best.select("id", F.aggregate(F.split("transcript", ""), state, step, lambda s: s["at"]).alias("at")).where("at is not null")
-
-
-def seeds(reads):
-    own = own_reads(reads).select("id", "seq")
-    return K.seed_matches(own, templates(reads), 12).where("query <> ref")
-
-
-@query("q1_exact_matches", None, READS)
-def exact_matches(spark, sf, reads):
-    return seeds(reads)
+    return aligned(sub).select("id", F.aggregate(F.split("transcript", ""), state, step, lambda s: s["at"]).alias("at")).where("at is not null")
 
 
 @query("q5_w4_chains", None, READS)
 def chains(spark, sf, reads):
-    return A.chained(seeds(reads))
+    return A.chained(matched(reads, SEED))
 
 
 @query("q6_clusters", None, READS)
 def clusters(spark, sf, reads):
-    return A.clustered(seeds(reads))
+    return A.clustered(matched(reads, SEED))
 
 
 @query("w5_n13_best_spaced", None, V)
@@ -106,75 +110,80 @@ def best_spaced(spark, sf, v):
     return A.spaced(rows, "ref", "pos", "score", 10)
 
 
-@query("c33_weighted_distance", None, READS)
-def weighted_distance(spark, sf, reads):
+@query("c33_weighted_distance", None, SUB)
+def weighted_distance(spark, sf, sub):
+    """Of each sub-read from the next one of its read."""
+
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([A.weighted_distance(x, y) for x, y in zip(a, b, strict=True)])
 
-    own = own_reads(reads).withColumn("next", F.lead("seq").over(W.partitionBy("movie").orderBy("id"))).where("next is not null")
-    return own.select("id", distance("seq", "next").alias("distance"))
+    following = sub.select((F.col("id") - 1).alias("id"), F.col("seq").alias("next")).where("id % 1048576 < 1048575")
+    return N.spread(sub.select("id", "seq").join(following, "id")).select("id", distance("seq", "next").alias("distance"))
+
+
+EIGHT = "(select distinct zmw, substring(seq, i, 8) as kmer from (select zmw, seq, unnest(range(1, length(seq) - 6)) as i from reads where length(seq) >= 8))"
 
 
-@query("j8_read_by_reference", None, READS)
+@query("j8_read_by_reference", f"select a as id, arg_max(b, (shared, -b)) as ref, max(shared) as shared from (select x.zmw as a, y.zmw as b, count(*) as shared from {EIGHT} x join {EIGHT} y on x.kmer = y.kmer and x.zmw <> y.zmw where x.zmw % 100 = 0 group by 1, 2) group by a", READS)
 def read_by_reference(spark, sf, reads):
-    """Each read against each of three templates by shared 8-mers; the best one."""
-    own = K.kmer_positions(own_reads(reads), 8, "id").select("id", "kmer").distinct()
-    refs = K.kmer_positions(templates(reads), 8, "id").select(F.col("id").alias("ref"), "kmer").distinct()
-    n = own.join(refs, "kmer").groupBy("id", "ref").agg(F.count("*").alias("shared"))
+    """Each read whose number is divisible by 100 against all others by distinct 8-mers they share; the best one."""
+    own = reads.select(F.col("zmw").alias("id"), F.explode(F.array_distinct(C.kmers(F.col("seq"), 8))).alias("kmer"))
+    refs = own.select(F.col("id").alias("ref"), "kmer")
+    n = own.where("id % 100 = 0").join(refs, "kmer").where("id <> ref").groupBy("id", "ref").agg(F.count("*").alias("shared"))
     return n.groupBy("id").agg(F.max_by("ref", F.struct("shared", -F.col("ref"))).alias("ref"), F.max("shared").alias("shared"))
 
 
 # ---- consensus
 
 
-def sub_reads(reads, copies=5):
-    own = own_reads(reads).select("id", "seq")
+def simulated(sub, copies):
+    own = sub.select("id", "seq")
     return own, N.simulated(own, copies)
 
 
-@query("n14_simulated_reads", None, READS)
-def simulated_reads(spark, sf, reads):
-    return sub_reads(reads)[1]
+@query("n14_simulated_reads", None, SUB)
+def simulated_reads(spark, sf, sub):
+    return simulated(sub, 2)[1]
 
 
-@query("n10_poa_consensus", None, READS)
-def poa(spark, sf, reads):
-    own, sub = sub_reads(reads)
+@query("n10_poa_consensus", None, SUB)
+def poa(spark, sf, sub):
+    _, copies = simulated(sub, 3)
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seq, score = N.partial_order_consensus(sorted(s for s in pdf["read"] if s))
         return pd.DataFrame([(*key, seq, score)], columns=["id", "consensus", "score"])
 
-    return sub.where("read <> ''").groupBy("id").applyInPandas(group, "id long, consensus string, score int")
+    return N.spread(copies.where("read <> ''"), "id").groupBy("id").applyInPandas(group, "id long, consensus string, score int")
 
 
-@query("n5_n6_read_scores", None, READS)
-def read_scores(spark, sf, reads):
+@query("n5_n6_read_scores", None, SUB)
+def read_scores(spark, sf, sub):
     """Viterbi and summed score of simulated reads against their template; the sum is never smaller."""
-    own, sub = sub_reads(reads, 2)
+    own, copies = simulated(sub, 1)
 
     @F.pandas_udf("struct<best:double,total:double>")
     def score(read: pd.Series, tpl: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(N.Scorer(r, t).score, N.Scorer(r, t, mode="sum").score) for r, t in zip(read, tpl, strict=True)], columns=["best", "total"])
+        return pd.DataFrame({"best": N.scores(list(read), list(tpl)), "total": N.scores(list(read), list(tpl), mode="sum")})
 
-    return sub.join(own, "id").select("id", "copy", score("read", "seq").alias("s")).select("id", "copy", "s.*")
+    return N.spread(copies.join(own, "id")).select("id", "copy", score("read", "seq").alias("s")).select("id", "copy", "s.*")
 
 
 @query("n7_n9_quiver_consensus")
 def quiver_consensus(spark, sf):
     """Draft, refinement and qualities of six reads of each nation's name, its signs taken as bases."""
     name = F.translate(F.translate(F.upper("n_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"), "0123456789_ ", "GATCGATCGATC")
-    sub = N.simulated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), name.alias("seq")), 6)
-    return N.group_consensus(sub.select(F.col("id").alias("key"), F.col("read").alias("seq")))
+    copies = N.simulated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), name.alias("seq")), 6)
+    return N.group_consensus(copies.select(F.col("id").alias("key"), F.col("read").alias("seq")))
 
 
-@query("n3_mutation_enumeration", "select zmw, n * 8 as all_single, 7 * n + 1 - (select count(*) from range(2, n + 1) t(i) where substring(s, cast(i as bigint), 1) = substring(s, cast(i - 1 as bigint), 1)) as unique_single from (select zmw, substring(seq, 1, 20) as s, length(substring(seq, 1, 20)) as n from reads where length(seq) >= 1)", READS)
+@query("n3_mutation_enumeration", "select zmw, n * 8 as all_single, 7 * n + 1 - same as unique_single from (select zmw, length(seq) as n, len(list_filter(list_zip(string_split(seq, ''), string_split('-' || seq, '')), lambda p: p[1] = p[2])) as same from reads where length(seq) >= 1)", READS)
 def mutation_enumeration(spark, sf, reads):
-    """Numbers of single mutations, all and unique, of each read's first 20 bases, from the enumerated sets."""
-    s = F.substring("seq", 1, 20)
+    """Numbers of single mutations, all and unique, of each read, from the enumerated sets."""
     bases = F.array(*[F.lit(b) for b in "ACGT"])
-    at = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.struct(i.alias("i"), F.substring(s, i, F.lit(1)).alias("c"), F.when(i > 1, F.substring(s, i - 1, F.lit(1))).otherwise("").alias("p")))
+    shifted = F.split(F.concat(F.lit("-"), F.expr("substring(seq, 1, length(seq) - 1)")), "")
+    at = F.zip_with(F.split("seq", ""), shifted, lambda c, p: F.struct(c.alias("c"), p.alias("p")))
     flat = reads.where("length(seq) >= 1").select("zmw", F.explode(at).alias("a"))
     kinds = F.concat(
         F.transform(bases, lambda b: F.struct(F.lit("INS").alias("kind"), b.alias("b"), (b != F.col("a.p")).alias("is_new"))),
@@ -190,41 +199,46 @@ def nearby_mutations(spark, sf, v):
     return near.distinct().groupBy("ref").agg(F.count("*").alias("places"))
 
 
-@query("c26_transcripts", None, READS)
+@query("c26_transcripts", "select zmw as id, 'MMDMRI' || repeat('M', length(seq) - 5) as transcript, length(seq) as last from reads where length(seq) >= 5", READS)
 def transcripts(spark, sf, reads):
-    @F.pandas_udf("struct<transcript:string,last:int>")
+    """A deletion, a substitution and an insertion in each read: the transcript and where its end comes to stand."""
+
+    @F.pandas_udf("struct<transcript:string,last:long>")
     def own(seq: pd.Series) -> pd.DataFrame:
         m = [N.deletion(2), N.insertion(5, "C"), N.substitution(4, "G")]
         return pd.DataFrame([(N.transcript(m, s), N.positions(m, s)[-1]) for s in seq], columns=["transcript", "last"])
 
-    return own_reads(reads).select("id", own("seq").alias("t")).select("id", "t.*")
+    return reads.where("length(seq) >= 5").select(F.col("zmw").alias("id"), own("seq").alias("t")).select("id", "t.*")
 
 
 @query("n11_diploid_sites", None, PB)
 def diploid_sites(spark, sf, p):
-    """Two alleles, log Bayes factor and split of the usable bases of each position with two bases or more."""
+    """Two alleles, log Bayes factor and split of the usable bases of each position with two bases or more.
+
+    Equal bases of one quality are counted first, so a position is a few hundred rows however deep its pile-up is.
+    """
 
     def own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["base", "phred"])
-        err = 10.0 ** (-pdf["phred"].to_numpy(float) / 10)
+        n, err = pdf["n"].to_numpy(), 10.0 ** (-pdf["phred"].to_numpy(float) / 10)
         scores = np.where(pdf["base"].to_numpy()[:, None] == np.arange(4)[None, :], np.log1p(-np.minimum(err, 0.999))[:, None], np.log(err / 3)[:, None])
-        a, b, factor, split = N.diploid_site(scores)
-        return pd.DataFrame([(*key, "ACGT"[a], "ACGT"[b], factor, sum(split), len(split))], columns=["rname", "pos", "a", "b", "log_factor", "with_b", "n"])
+        a, b, factor, split = N.diploid_site(scores, counts=n.astype(float))
+        return pd.DataFrame([(*key, "ACGT"[a], "ACGT"[b], factor, int(n @ np.array(split)), int(n.sum()))], columns=["rname", "pos", "a", "b", "log_factor", "with_b", "n"])
 
-    good = p.where("base < 4 and phred > 17")
+    good = p.where("base < 4 and phred > 17").groupBy("rname", "pos", "base", "phred").agg(F.count("*").alias("n"))
     two = good.groupBy("rname", "pos").agg(F.count_distinct("base").alias("k")).where("k > 1").select("rname", "pos")
     return good.join(two, ["rname", "pos"], "left_semi").groupBy("rname", "pos").applyInPandas(own, "rname string, pos int, a string, b string, log_factor double, with_b int, n int")
 
 
-@query("n12_expected_counts", None, READS)
-def expected_counts(spark, sf, reads):
-    own, sub = sub_reads(reads, 1)
+@query("n12_expected_counts", None, SUB)
+def expected_counts(spark, sf, sub):
+    own, copies = simulated(sub, 1)
 
     @F.pandas_udf("array<double>")
     def counts(read: pd.Series, tpl: pd.Series) -> pd.Series:
         return pd.Series([N.expected_counts(r, t).sum(axis=0).tolist() if r else [float(len(t)), 0.0, 0.0, 0.0, 0.0] for r, t in zip(read, tpl, strict=True)])
 
-    return sub.join(own, "id").select("id", counts("read", "seq").alias("c")).select("id", *[F.col("c")[i].alias(n) for i, n in enumerate(["none", "A", "C", "G", "T"])])
+    return N.spread(copies.join(own, "id")).select("id", counts("read", "seq").alias("c")).select("id", *[F.col("c")[i].alias(n) for i, n in enumerate(["none", "A", "C", "G", "T"])])
 
 
 @query("n18_homopolymer_ratios", "select ref, hp_len, count(*) filter (where indeltype = 'Insertion') as insertions, count(*) filter (where indeltype = 'Deletion') as deletions, count(*) filter (where indeltype = 'Insertion')::double / count(*) as ratio from variants where type = 'Indel' group by ref, hp_len", V)
@@ -275,7 +289,7 @@ def low_coverage(spark, sf, reads):
 @query("h7_read_contig_map", None, READS)
 def read_contig_map(spark, sf, reads):
     nodes, own = graph(reads)
-    return G.read_contig_map(own_reads(reads).select("id", "seq"), G.contigs(nodes, own), 12).groupBy("overlap").agg(F.count("*").alias("places"), F.count_distinct("id").alias("reads"))
+    return G.read_contig_map(reads.where("length(seq) >= 12").select(F.col("zmw").alias("id"), "seq"), G.contigs(nodes, own), 12).groupBy("overlap").agg(F.count("*").alias("places"), F.count_distinct("id").alias("reads"))
 
 
 @query("h8_h9_mate_links", """select a.rname as from_contig, b.rname as to_contig, count(*) as n, round(avg(500 - abs(b.t_start - a.t_start)), 6) as mean, round(coalesce(stddev_samp(500 - abs(b.t_start - a.t_start)), 0), 6) as sd
@@ -289,13 +303,15 @@ def mate_links(spark, sf):
     return links.select("from_contig", "to_contig", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("h10_h11_scaffold_paths", "select 'r0,n0' as path, 2 as n where false union all select concat(r_regionkey, '>', n) as path, 2 as n from (select r_regionkey, unnest(range(0, 2)) as n from region)")
+@query("h10_h11_scaffold_paths", """select 'r' || r_regionkey || '>n' || n_nationkey || coalesce('>s' || s_suppkey, '') as path, case when s_suppkey is null then 2 else 3 end as n
+    from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey""")
 def scaffold_paths(spark, sf):
-    """Paths from each region's contig to its two ends; contained paths are dropped."""
-    r = table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("k"))
-    links = r.select(F.concat("k", F.lit(".a")).alias("from_contig"), F.explode(F.array(F.concat("k", F.lit(">0")), F.concat("k", F.lit(">1")))).alias("to_contig"))
-    paths = G.without_contained(G.scaffold_paths(links))
-    return paths.select(F.element_at("path", -1).alias("path"), F.size("path").alias("n"))
+    """Paths over regions, their nations and suppliers; every link is given as a path too, and those inside longer ones go."""
+    key = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    first = table(spark, sf, "nation").select(key("n_regionkey", "r").alias("from_contig"), key("n_nationkey", "n").alias("to_contig"))
+    links = first.unionByName(table(spark, sf, "supplier").select(key("s_nationkey", "n").alias("from_contig"), key("s_suppkey", "s").alias("to_contig")))
+    paths = G.scaffold_paths(links).unionByName(links.select(F.array("from_contig", "to_contig").alias("path"))).distinct()
+    return G.without_contained(paths).select(F.array_join("path", ">").alias("path"), F.size("path").alias("n"))
 
 
 @query("h12_scaffold_sequences", "select zmw as path_id, seq || reverse(translate(seq, 'ACGT', 'TGCA'))[4:] as seq from reads where length(seq) >= 4", READS)
@@ -323,7 +339,7 @@ def fasta_round_trip(spark, sf, reads):
     return formats.read_fasta(spark, path)
 
 
-@query("s2_s3_fastq_round_trip", "with q as (select cast(doc_id as varchar) as name, list_transform(range(1, least(50, length(text)) + 1), lambda i: (ascii(substring(text, i, 1)) * 7 + i) % 41) as q from documents where length(text) > 0) select name, repeat('A', len(q)) as seq, cast(list_sum(q) as bigint) as total from q")
+@query("s2_s3_fastq_round_trip", "with q as (select cast(doc_id as varchar) as name, list_transform(string_split(text, ''), lambda c, i: (ascii(c) * 7 + i) % 41) as q from documents where length(text) > 0) select name, repeat('A', len(q)) as seq, cast(list_sum(q) as bigint) as total from q")
 def fastq_round_trip(spark, sf):
     path = scratch(spark, "fastq")
     rows = quals(spark, sf).select(F.col("zmw").cast("string").alias("name"), F.repeat(F.lit("A"), F.size("q")).alias("seq"), F.col("q").alias("qual"))
@@ -364,7 +380,7 @@ def csv_round_trip(spark, sf, r):
     return formats.read_csv(spark, path, "movie string, zmw long, num_errors long")
 
 
-@query("s23_statistics_columns", "with q as (select doc_id as zmw, list_transform(range(1, least(50, length(text)) + 1), lambda i: (ascii(substring(text, i, 1)) * 7 + i) % 41) as q from documents where length(text) > 0) select cast(zmw as varchar) as zmw, list_max(q)::double as Max_q, list_min(q)::double as Min_q, round(list_avg(q), 9) as Mean_q from q")
+@query("s23_statistics_columns", "with q as (select doc_id as zmw, list_transform(string_split(text, ''), lambda c, i: (ascii(c) * 7 + i) % 41) as q from documents where length(text) > 0) select cast(zmw as varchar) as zmw, list_max(q)::double as Max_q, list_min(q)::double as Min_q, round(list_avg(q), 9) as Mean_q from q")
 def statistics_columns(spark, sf):
     return formats.statistics_columns(quals(spark, sf), ["zmw"], ["q"]).withColumn("Mean_q", F.round("Mean_q", 9))
 
@@ -392,37 +408,48 @@ def first_records(spark, sf, reads):
 # ---- statistics
 
 
-@query("c34_binomial_survival", None, R)
-def binomial_survival(spark, sf, r):
-    @F.pandas_udf("double")
-    def survival(q: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([N.binomial_survival(int(a), int(b), 0.1) for a, b in zip(q, n, strict=True)])
+HASH = "md5(concat_ws('|', '{}', movie, cast(zmw as varchar), algorithm{}))"
+
+
+def hashed(seed: str, *more):
+    return F.md5(F.concat_ws("|", F.lit(seed), "movie", F.col("zmw").cast("string"), "algorithm", *more).cast("binary"))
+
 
+def first_digits(digest, n: int):
+    return F.conv(F.substring(digest, 1, n), 16, 10)
+
+
+@query("c34_binomial_survival", """select num_errors, num_passes, round(coalesce((select sum(exp(lgamma(num_passes + 1) - lgamma(k + 1) - lgamma(num_passes - k + 1) + k * ln(0.1::double) + (num_passes - k) * ln(0.9::double)))
+    from range(0, 1000) t(k) where k > num_errors and k <= num_passes), 0), 9) as p from (select distinct num_errors, num_passes from read_report)""", R)
+def binomial_survival(spark, sf, r):
+    """P[X > num_errors] of num_passes tries with a chance of a tenth: each term follows from the one before."""
     own = r.select("num_errors", "num_passes").distinct()
-    return own.select("num_errors", "num_passes", survival("num_errors", "num_passes").alias("p"))
+    return own.select("num_errors", "num_passes", F.round(C.binomial_survival(F.col("num_errors"), F.col("num_passes"), 0.1), 9).alias("p"))
 
 
-@query("n19_row_sample", None, R)
+@query("n19_row_sample", f"select movie, zmw, algorithm from read_report where ('0x' || substr({HASH.format('19', '')}, 1, 8))::bigint % 20 = 0", R)
 def row_sample(spark, sf, r):
     """A twentieth of the rows, the same at each run: a sampling operator."""
-    return r.where(F.pmod(F.xxhash64("movie", "zmw", "algorithm"), F.lit(20)) == 0).select("movie", "zmw", "algorithm")
+    return r.where(first_digits(hashed("19"), 8).cast("long") % 20 == 0).select("movie", "zmw", "algorithm")
 
 
-@query("n20_sample_without_replacement", None, R)
+@query("n20_sample_without_replacement", f"select movie, zmw, algorithm from read_report order by {HASH.format('20', '')} limit 100", R)
 def sample_without_replacement(spark, sf, r):
     """A hundred rows, by hash order: a sampling operator."""
-    return r.orderBy(F.xxhash64(F.lit(42), "movie", "zmw", "algorithm")).limit(100).select("movie", "zmw", "algorithm")
+    return r.orderBy(hashed("20")).limit(100).select("movie", "zmw", "algorithm")
 
 
-@query("n21_bootstrap", None, R)
+#: Chances of a Poisson variable with mean 1 to be below 1, 2, ... 7.
+POISSON = [round(float(x), 12) for x in np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1) or [1])) for k in range(7)])]
+
+
+@query("n21_bootstrap", f"""select algorithm, b, sum(w * num_errors)::double / sum(w) as mean from (select *, {" + ".join(f"(u > {x})::int" for x in POISSON)} as w
+    from (select *, (('0x' || substr({HASH.format('21', ", cast(b as varchar)")}, 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u from read_report, range(0, 20) t(b))) group by algorithm, b""", R)
 def bootstrap(spark, sf, r):
     """Mean error of 20 resamples of each algorithm's reads, with Poisson weights so that no row is moved twice."""
-    u = (F.xxhash64("movie", "zmw", "algorithm", "b").cast("double") / 2.0**64) + 0.5
-    limits = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1) or [1])) for k in range(7)])
-    weight = F.lit(0)
-    for x in limits:
-        weight = weight + F.when(u > float(x), 1).otherwise(0)
-    rows = r.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("w", weight)
+    rows = r.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    u = (first_digits(hashed("21", F.col("b").cast("string")), 13).cast("double") + 0.5) / 4503599627370496.0
+    rows = rows.withColumn("u", u).withColumn("w", sum(((F.col("u") > x).cast("int") for x in POISSON), F.lit(0)))
     return rows.groupBy("algorithm", "b").agg((F.sum(F.col("w") * F.col("num_errors")) / F.sum("w")).alias("mean"))
 
 
@@ -435,9 +462,9 @@ def logistic_decision(spark, sf, r):
         pdf = pd.concat(list(pdfs))
         if not len(pdf):
             return
-        x = np.repeat(pdf["num_passes"].to_numpy(float), pdf["n"])
-        y = np.concatenate([np.repeat([1.0, 0.0], [g, n - g]) for g, n in zip(pdf["good"], pdf["n"], strict=True)])
-        w = N.logistic_regression(np.column_stack([np.ones_like(x), x, x * x]), y)
+        x = np.tile(pdf["num_passes"].to_numpy(float), 2)
+        y = np.repeat([1.0, 0.0], len(pdf))
+        w = N.logistic_regression(np.column_stack([np.ones_like(x), x, x * x]), y, counts=np.concatenate([pdf["good"], pdf["n"] - pdf["good"]]).astype(float))
         points = N.decision_points(w)
         yield pd.DataFrame([(*map(float, w), points[0] if points else None)], columns=["constant", "linear", "quadratic", "decision"])
 
@@ -464,13 +491,16 @@ def barcode_set(spark, sf):
     return spark.createDataFrame(list(enumerate(N.barcodes(12, 10, 6))), "id int, barcode string")
 
 
-@query("j12_close_to_none", None, READS)
+CODES = [b + "AC" for b in N.barcodes(12, 10, 6)]
+
+
+@query("j12_close_to_none", f"select zmw from reads where length(seq) >= 12 and not list_bool_or(list_transform({CODES}, lambda c: hamming(substring(seq, 1, 12), c) <= 2))", READS)
 def close_to_none(spark, sf, reads):
-    """Reads whose first twelve bases differ in more than two places from every barcode: an anti join on pieces.
+    """Reads that begin with twelve bases which differ in more than two places from every barcode: an anti join on pieces.
 
     Two differences leave one of three pieces of four bases unchanged, so only reads that share a piece are compared.
     """
-    codes = spark.createDataFrame([(b + "AC",) for b in N.barcodes(12, 10, 6)], "code string")
+    codes = spark.createDataFrame([(c,) for c in CODES], "code string")
     cut = lambda c: F.posexplode(F.array(*[F.substring(c, 1 + 4 * i, 4) for i in range(3)]))
     own = reads.where("length(seq) >= 12").select("zmw", F.substring("seq", 1, 12).alias("s"))
     near = own.select("zmw", "s", cut("s").alias("i", "piece")).join(F.broadcast(codes.select("code", cut("code").alias("i", "piece"))), ["i", "piece"])
@@ -478,15 +508,12 @@ def close_to_none(spark, sf, reads):
     return own.join(near.where(differ <= 2).select("zmw"), "zmw", "left_anti").select("zmw")
 
 
-@query("a12_ambiguous_consensus", None, READS)
+@query("a12_ambiguous_consensus", f"""select zmw, case when len(s) = 1 then s[1] when s = ['D', 'N'] then 'B' when s = ['I', 'L'] then 'J' when s = ['E', 'Q'] then 'Z' else 'X' end as consensus
+    from (select zmw, list_sort(list_distinct(string_split(protein, ''))) as s from ({PROTEIN}) where protein <> '')""", READS)
 def ambiguous_consensus(spark, sf, reads):
-    @F.pandas_udf("string")
-    def own(protein: pd.Series) -> pd.Series:
-        return protein.map(lambda p: P.ambiguous_consensus(list(p[:2])))
-
-    from .scalars import translate_dna
-
-    return reads.where("length(seq) >= 6").select("zmw", own(translate_dna(F.col("seq"))).alias("consensus"))
+    """The residue that stands for all of a read's protein."""
+    protein = reads.select("zmw", translate_dna(F.col("seq")).alias("p")).where("p <> ''")
+    return protein.select("zmw", P.ambiguous_residue(F.split("p", "")).alias("consensus"))
 
 
 @query("c30_locations", "select zmw, substring(seq, 3, 8) || reverse(translate(substring(seq, 21, 5), 'ACGT', 'TGCA')) as part from reads where length(seq) >= 30", READS)
@@ -526,7 +553,7 @@ def stream_to_sinks(spark, sf, reads):
     return spark.read.option("recursiveFileLookup", "true").schema("movie string, zmw long, n long").parquet(out)
 
 
-@query("t4_streamed_genotypes", None, PB)
+@query("t4_streamed_genotypes", GENOTYPES_OF_PILES, PB)
 def streamed_genotypes(spark, sf, p):
     piles = p.groupBy("rname", "pos").agg(F.collect_list(F.struct("base", "phred")).alias("bases"))
     return adapters.pileups_to_genotypes(piles)

@@ -13,10 +13,10 @@ READS, R, V = ("reads",), ("read_report",), ("variants",)
 
 def quals(spark, sf):
     """(zmw, q): qualities 0 to 40 derived from character codes."""
-    return table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").alias("zmw"), F.expr("transform(sequence(1, least(50, length(text))), i -> (ascii(substring(text, i, 1)) * 7 + i) % 41)").alias("q"))
+    return table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").alias("zmw"), F.transform(F.split("text", ""), lambda c, i: (F.ascii(c) * 7 + i + 1) % 41).alias("q"))
 
 
-QUALS = "with quals as (select doc_id as zmw, list_transform(range(1, least(50, length(text)) + 1), lambda i: (ascii(substring(text, i, 1)) * 7 + i) % 41) as q from documents where length(text) > 0)\n"
+QUALS = "with quals as (select doc_id as zmw, list_transform(string_split(text, ''), lambda c, i: (ascii(c) * 7 + i) % 41) as q from documents where length(text) > 0)\n"
 
 
 @query("c1_split_exactly", "select zmw, split_part(movie || '/' || zmw || '/ccs/x', '/', 1) as a, split_part(movie || '/' || zmw || '/ccs/x', '/', 2) as b, 'ccs/x' as rest from reads", READS)
@@ -103,10 +103,9 @@ def sigmoids(spark, sf, r):
 
 @query("c20_checksum")
 def checksum(spark, sf):
-    """CRC-32 of a read's bases and its quality track, in hexadecimal."""
-    reads = table(spark, sf, "documents")
-    track = F.expr("transform(sequence(1, least(50, length(text))), i -> cast((ascii(substring(text, i, 1)) * 7 + i) % 41 as string))")
-    return reads.where("length(text) > 0").select(F.col("doc_id").alias("zmw"), F.lower(F.lpad(F.hex(F.crc32(F.concat(F.col("text"), F.array_join(track, ",")).cast("binary"))), 8, "0")).alias("crc"))
+    """CRC-32 of a read's bases and its quality track, in hexadecimal; SQL has no such checksum."""
+    track = F.transform(F.split("text", ""), lambda c, i: ((F.ascii(c) * 7 + i + 1) % 41).cast("string"))
+    return table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").alias("zmw"), F.lower(F.lpad(F.hex(F.crc32(F.concat(F.col("text"), F.array_join(track, ",")).cast("binary"))), 8, "0")).alias("crc"))
 
 
 @query("c21_reference_section", """select zmw, case when zmw % 40 > 20 then substring(seq, 21, zmw % 40 - 20 + 1) else substring(seq, 21) || substring(seq, 1, zmw % 40) end as part from reads""", READS)
@@ -144,14 +143,16 @@ GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
 
 def translate_dna(seq, offset: int = 0):
     """Protein of a reading frame; an incomplete last codon is dropped."""
-    n = F.floor((F.length(seq) - offset) / 3).cast("int")
-    at = lambda i, k: F.instr(F.lit("TCAG"), F.substring(seq, i * 3 + offset + k, F.lit(1))) - 1
-    codon = lambda i: F.substring(F.lit(GENETIC_CODE), at(i, 1) * 16 + at(i, 2) * 4 + at(i, 3) + 1, F.lit(1))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), codon), "")).otherwise(F.lit(""))
+    at = lambda c, k: F.instr(F.lit("TCAG"), F.substring(c, k, 1)) - 1
+    codon = lambda c: F.substring(F.lit(GENETIC_CODE), at(c, 1) * 16 + at(c, 2) * 4 + at(c, 3) + 1, F.lit(1))
+    return F.array_join(F.transform(F.regexp_extract_all(F.substring(seq, offset + 1, 1 << 30), F.lit("(?s).{3}"), F.lit(0)), codon), "")
 
 
-@query("c29_translation", f"""select zmw, coalesce(list_aggregate(list_transform(range(0, cast(length(seq) // 3 as bigint)), lambda i: substring('{GENETIC_CODE}',
-    cast((strpos('TCAG', substring(seq, i * 3 + 1, 1)) - 1) * 16 + (strpos('TCAG', substring(seq, i * 3 + 2, 1)) - 1) * 4 + strpos('TCAG', substring(seq, i * 3 + 3, 1)) as bigint), 1)), 'string_agg', ''), '') as protein from reads""", READS)
+PROTEIN = f"""select zmw, coalesce(list_aggregate(list_transform(range(0, cast(length(seq) // 3 as bigint)), lambda i: substring('{GENETIC_CODE}',
+    cast((strpos('TCAG', substring(seq, i * 3 + 1, 1)) - 1) * 16 + (strpos('TCAG', substring(seq, i * 3 + 2, 1)) - 1) * 4 + strpos('TCAG', substring(seq, i * 3 + 3, 1)) as bigint), 1)), 'string_agg', ''), '') as protein from reads"""
+
+
+@query("c29_translation", PROTEIN, READS)
 def translation(spark, sf, reads):
     return reads.select("zmw", translate_dna(F.col("seq")).alias("protein"))
 
