@@ -52,10 +52,10 @@ def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _weak_chains(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """(kmer, unit): nodes seen less than ``least`` times that follow each other without a branch share a unit."""
+    """(kmer, unit, place): nodes seen less than ``least`` times that follow each other without a branch share a unit."""
     weak = nodes.where(F.col("n") < least).select("kmer")
     inside = unambiguous(edges).join(weak.select(F.col("kmer").alias("src")), "src", "left_semi").join(weak.select(F.col("kmer").alias("dst")), "dst", "left_semi")
-    return path_places(inside, weak).select("kmer", F.col("head").alias("unit"))
+    return path_places(inside, weak).select("kmer", F.col("head").alias("unit"), "place")
 
 
 def erode(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -68,10 +68,11 @@ def erode(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, Da
     nodes, edges = cut_lineage(nodes), cut_lineage(edges)
     while True:
         units = cut_lineage(_weak_chains(nodes, edges, least))
-        named = lambda c: units.select(F.col("kmer").alias(c), F.col("unit").alias(f"{c}_unit"))  # noqa: E731, B023
+        named = lambda c: units.select(F.col("kmer").alias(c), F.col("unit").alias(f"{c}_unit"), F.col("place").alias(f"{c}_place"))  # noqa: E731, B023
         links = edges.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
-        links = links.select(F.coalesce("src_unit", "src").alias("src"), F.coalesce("dst_unit", "dst").alias("dst"), F.col("src_unit").eqNullSafe(F.col("dst_unit")).alias("same"), (F.col("src") == F.col("dst")).alias("loop"))
-        links = cut_lineage(links.where("loop or not same or src <> dst").select("src", "dst").distinct())
+        inside = (F.col("src_unit") == F.col("dst_unit")) & (F.col("dst_place") == F.col("src_place") + 1)  # a link back makes a circle
+        links = links.where(~F.coalesce(inside, F.lit(False))).select(F.coalesce("src_unit", "src").alias("src"), F.coalesce("dst_unit", "dst").alias("dst"))
+        links = cut_lineage(links.distinct())
         weak, gone = units.select("unit").distinct(), None
         for _ in range(ERODED_AT_ONCE):
             inner = links.select(F.col("src").alias("unit")).distinct().join(links.select(F.col("dst").alias("unit")).distinct(), "unit", "left_semi")

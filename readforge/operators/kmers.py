@@ -22,26 +22,34 @@ def kmer_index(reads: DataFrame, k: int, id_col: str = "zmw", seq: str = "seq")
     return kmer_positions(reads, k, id_col, seq).groupBy("kmer", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+_BASES = np.frombuffer(b"ACGT", np.uint8)
+_BASE_CODES = np.full(256, 255, np.uint8)
+_BASE_CODES[_BASES] = np.arange(4)
+
+
 def _windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bytes (one number, or ``k`` bytes if that is too long for one) of every k-mer of ASCII sequences."""
+    """Row and code of every k-mer of ASCII sequences: two bits a base, or ``k`` bytes where there are other signs."""
     raw = [s.as_buffer() if s.is_valid else b"" for s in seqs]
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
     n = np.maximum(sizes - k + 1, 0)
     row = np.repeat(np.arange(len(raw)), n)
     first = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(len(row))
-    if k <= 8:
-        code = np.zeros(len(first), np.uint64)
+    packed = _BASE_CODES[data]
+    if k <= 31 and (packed < 4).all():  # two bits a base, and a one before the first
+        code = np.ones(len(first), np.uint64)
         for i in range(k):
-            code = code << np.uint64(8) | data[first + i]
+            code = code << np.uint64(2) | packed[first + i]
         return row, code
     return row, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k)[first]).view(f"S{k}").ravel() if len(first) else np.zeros(0, f"S{k}")
 
 
 def _texts(codes: np.ndarray, k: int) -> pa.Array:
-    if codes.dtype.kind == "S":
-        return pa.array(codes.tolist(), pa.binary()).cast(pa.string())
-    return pa.array([int(c).to_bytes(k, "big") for c in codes], pa.binary()).cast(pa.string())
+    if codes.dtype.kind != "S":
+        shifts = np.arange(2 * (k - 1), -1, -2, dtype=np.uint64)
+        codes = _BASES[(codes[:, None] >> shifts[None, :] & np.uint64(3)).astype(np.uint8)]
+    offsets = np.arange(len(codes) + 1, dtype=np.int32) * k
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes)))
 
 
 def kmer_frequencies(reads: DataFrame, k: int, id_col: str = "zmw", seq: str = "seq") -> DataFrame:

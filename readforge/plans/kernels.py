@@ -180,17 +180,26 @@ def quiver_consensus(spark, sf):
 
 @query("n3_mutation_enumeration", "select zmw, n * 8 as all_single, 7 * n + 1 - same as unique_single from (select zmw, length(seq) as n, len(list_filter(list_zip(string_split(seq, ''), string_split('-' || seq, '')), lambda p: p[1] = p[2])) as same from reads where length(seq) >= 1)", READS)
 def mutation_enumeration(spark, sf, reads):
-    """Numbers of single mutations, all and unique, of each read, from the enumerated sets."""
+    """Numbers of single mutations, all and unique, of each read, from the sets enumerated in its row."""
     bases = F.array(*[F.lit(b) for b in "ACGT"])
     shifted = F.split(F.concat(F.lit("-"), F.expr("substring(seq, 1, length(seq) - 1)")), "")
     at = F.zip_with(F.split("seq", ""), shifted, lambda c, p: F.struct(c.alias("c"), p.alias("p")))
-    flat = reads.where("length(seq) >= 1").select("zmw", F.explode(at).alias("a"))
-    kinds = F.concat(
-        F.transform(bases, lambda b: F.struct(F.lit("INS").alias("kind"), b.alias("b"), (b != F.col("a.p")).alias("is_new"))),
-        F.transform(F.filter(bases, lambda b: b != F.col("a.c")), lambda b: F.struct(F.lit("SUBS").alias("kind"), b.alias("b"), F.lit(True).alias("is_new"))),
-        F.array(F.struct(F.lit("DEL").alias("kind"), F.col("a.c").alias("b"), (F.col("a.c") != F.col("a.p")).alias("is_new"))),
-    )
-    return flat.select("zmw", F.explode(kinds).alias("m")).groupBy("zmw").agg(F.count("*").alias("all_single"), F.count_if(F.col("m.is_new")).alias("unique_single"))
+
+    def kinds(a):
+        return F.concat(
+            F.transform(bases, lambda b: F.struct(F.lit("INS").alias("kind"), b.alias("b"), (b != a["p"]).alias("is_new"))),
+            F.transform(F.filter(bases, lambda b: b != a["c"]), lambda b: F.struct(F.lit("SUBS").alias("kind"), b.alias("b"), F.lit(True).alias("is_new"))),
+            F.array(F.struct(F.lit("DEL").alias("kind"), a["c"].alias("b"), (a["c"] != a["p"]).alias("is_new"))),
+        )
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("u"))
+
+    def add(s, a):
+        m = kinds(a)
+        return F.struct((s["n"] + F.size(m)).alias("n"), (s["u"] + F.size(F.filter(m, lambda x: x["is_new"]))).alias("u"))
+
+    counted = N.spread(reads.where("length(seq) >= 1")).select("zmw", F.aggregate(at, none, add).alias("s"))
+    return counted.select("zmw", F.col("s.n").alias("all_single"), F.col("s.u").alias("unique_single"))
 
 
 @query("n4_nearby_mutations", "select ref, count(distinct p) as places from (select ref, unnest(range(pos - 2, pos + 2)) as p from variants where type = 'SNP') where p >= 0 group by ref", V)
