@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readforge.functions.columns import kmers, reverse_complement
+from readforge.functions.columns import complement, kmers, reverse_complement
 from readforge.operators.kmers import kmer_counts
 
 
@@ -244,3 +244,87 @@ def sequence_weights(edges: DataFrame) -> DataFrame:
     leaves = state.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_anti")
     mean = leaves.agg(F.avg("length").alias("mean"))
     return leaves.join(F.broadcast(mean)).select(F.col("child").alias("leaf"), (F.col("mean") / F.col("length")).alias("weight"))
+
+
+# ---- assembly by overlaps
+
+
+#: How a sequence may lie: as it is, or its reverse complement; without a known direction also reversed or complemented.
+TURNED = {"+": lambda s: s, "-": reverse_complement, "r": F.reverse, "c": complement}
+
+
+def best_overlaps(reads: DataFrame, least: int, standard: bool = True) -> DataFrame:
+    """(src, dst, overlap): the end of ``src`` is the beginning of ``dst`` in ``least`` bases or more, each the other's longest.
+
+    Nodes are (id, turn). Ends meet beginnings on the ``least`` bases a sequence begins with, so only places that agree there are
+    compared. Of equally long overlaps that with the smaller id counts, then the same turn, which keeps both strands alike.
+    """
+    turns = ["+", "-"] if standard else list(TURNED)
+    own = reads.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), TURNED[t](F.col("seq")).alias("seq")) for t in turns])).alias("x")).select("id", "x.*").where(F.length("seq") >= least)
+    begins = own.select(F.struct("id", "turn").alias("dst"), F.col("seq").alias("to"), F.substring("seq", 1, least).alias("kmer"))
+    # place 0 is left out: a sequence that another begins with is contained in it
+    ends = own.select(F.struct("id", "turn").alias("src"), "seq", F.posexplode(kmers(F.expr("substring(seq, 2)"), least)).alias("p", "kmer"))
+    met = ends.join(begins, "kmer").where((F.col("src.id") != F.col("dst.id")) & F.startswith("to", F.expr("substring(seq, p + 2)")))
+    found = met.groupBy("src", "dst").agg(F.max(F.length("seq") - F.col("p") - 1).alias("overlap"))
+    alike = (F.col("src.turn") != F.col("dst.turn")).cast("int")
+    rank = lambda other: F.struct(-F.col("overlap"), F.col(f"{other}.id"), alike)
+    found = cut_lineage(found)
+    out = found.groupBy("src").agg(F.min_by("dst", rank("dst")).alias("dst"))
+    into = found.groupBy("dst").agg(F.min_by("src", rank("src")).alias("src"))
+    return found.join(out, ["src", "dst"], "left_semi").join(into, ["src", "dst"], "left_semi")
+
+
+def without_contained_reads(reads: DataFrame, k: int, standard: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(kept, gone): equal sequences once, by the smallest id, and none that lies inside another; gone: (id, container)."""
+    turns = ["+", "-"] if standard else list(TURNED)
+    forms = F.array(*[TURNED[t](F.col("seq")) for t in turns])
+    equal = reads.select("id", "seq", F.array_min(forms).alias("form"))
+    first = equal.groupBy("form").agg(F.min("id").alias("container"))
+    copies = equal.join(first.withColumnRenamed("form", "_form"), F.expr("form <=> _form")).where("id <> container").select("id", "container")
+    single = cut_lineage(equal.join(first.select(F.col("container").alias("id")), "id", "left_semi").select("id", "seq"))
+    small = single.where(F.length("seq") >= k).select("id", F.explode(F.array_distinct(forms)).alias("form"))
+    small = small.select("id", "form", F.substring("form", 1, k).alias("kmer"))
+    large = single.select(F.col("id").alias("container"), "seq", F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer"))
+    inside = small.join(large, "kmer").where((F.col("id") != F.col("container")) & (F.length("seq") > F.length("form")) & F.contains("seq", "form"))
+    held = cut_lineage(inside.groupBy("id").agg(F.max_by("container", F.struct(F.length("seq"), -F.col("container"))).alias("container")))
+    return single.join(held, "id", "left_anti"), copies.unionByName(held)
+
+
+def _opened(links: DataFrame) -> DataFrame:
+    """Links without one of each circle: that into the node with the smallest name, out of it where it is turned."""
+    state = cut_lineage(links.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.least("src", "dst").alias("least")))
+    for _ in range(state.count().bit_length() + 1):
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
+        # what has reached a beginning isn't on a circle and is dropped
+        state = cut_lineage(state.join(far, "up").select("node", F.col("_up").alias("up"), F.least("least", "_least").alias("least")))
+        if state.isEmpty():
+            break
+    before = state.where("node = least and node.turn in ('+', 'c')").select(F.col("node").alias("dst"))
+    after = state.where("node = least and node.turn in ('-', 'r')").select(F.col("node").alias("src"))
+    return links.join(before, "dst", "left_anti").join(after, "src", "left_anti")
+
+
+def overlap_assembly(reads: DataFrame, least: int, standard: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contigs, unmerged, contained) of reads (id, seq): greedy joins of best overlaps of ``least`` bases or more.
+
+    contigs: (contig, seq, ids), ids in order along it; unmerged: (id, seq) of what joins nothing; contained: (id, container).
+    Both strands give the same contig, which is returned once; a circle is cut at its smallest id. Nothing is collected; a path of n sequences takes
+    log n joins. ``standard`` False also tries sequences reversed or complemented.
+    """
+    kept, gone = without_contained_reads(reads, least, standard)
+    kept = cut_lineage(kept)
+    found = cut_lineage(best_overlaps(kept, least, standard))
+    links = cut_lineage(_opened(found))
+    ends = found.select(F.explode(F.array("src", "dst")).alias("kmer")).distinct()
+    places = path_places(links.select("src", "dst"), ends)
+    form = F.coalesce(*[F.when(F.col("kmer.turn") == t, TURNED[t](F.col("seq"))) for t in TURNED])
+    placed = places.join(kept, F.col("kmer.id") == kept["id"]).join(links.select(F.col("dst").alias("kmer"), "overlap"), "kmer", "left")
+    piece = F.struct("place", "id", form.alias("s"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    path = placed.groupBy("head").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.substring(x["s"], x["overlap"].cast("int") + 1, F.length(x["s"]))), "")
+    built = path.select(text.alias("seq"), F.transform("p", lambda x: x["id"]).alias("ids"))
+    forms = F.array(*[TURNED[t](F.col("seq")) for t in (["+", "-"] if standard else TURNED)])
+    alike = built.withColumn("form", F.array_min(forms)).groupBy("form").agg(F.min(F.struct(F.col("ids")[0].alias("first"), "seq", "ids")).alias("x"))
+    contigs = alike.select(F.col("x.first").alias("contig"), "x.seq", "x.ids")
+    merged = ends.select("kmer.id").distinct()
+    return contigs, kept.join(merged, "id", "left_anti"), gone

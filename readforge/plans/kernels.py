@@ -330,6 +330,15 @@ def scaffold_sequences(spark, sf, reads):
     return G.scaffold_sequence(own.select("path_id", "p.place", "p.forward", "seq"), 4)
 
 
+@query("h13_overlap_assembly", None, READS)
+def overlap_assembly(spark, sf, reads):
+    """Reads cut into pieces of up to 200 bases, each 150 after the one before, and put together again by overlaps of 50."""
+    own = reads.where("length(seq) >= 50").select(F.col("zmw"), "seq", F.explode(F.expr("sequence(0L, cast(greatest(length(seq) - 51, 0) div 150 as bigint))")).alias("part"))
+    pieces = own.select((F.col("zmw") * 1048576 + F.col("part")).alias("id"), F.expr("substring(seq, cast(part * 150 + 1 as int), 200)").alias("seq"))
+    contigs, unmerged, _ = G.overlap_assembly(pieces, 50)
+    return contigs.select("contig", F.size("ids").alias("pieces"), "seq").unionByName(unmerged.select(F.col("id").alias("contig"), F.lit(1).alias("pieces"), "seq"))
+
+
 @query("m5_m6_sequence_weights", """select leaf, 1 / (d * count(*) over () / sum(d) over ()) as weight from (select n_name as leaf, (n_nationkey % 7 + 1)::double + (r_regionkey + 2)::double as d from nation join region on n_regionkey = r_regionkey)""")
 def sequence_weights(spark, sf):
     """Weights of the leaves of a tree of nations under regions under one root."""
