@@ -15,7 +15,7 @@ from readforge.operators import kmers as K
 from readforge.operators import pileup as P
 from readforge.operators import profiles as M
 from readforge.operators.graphs import scratch
-from readforge.sources import formats
+from readforge.sources import chunks, formats, records
 from readforge.streaming import adapters
 
 from .registry import query, table
@@ -417,6 +417,50 @@ def hole_blocks(spark, sf, reads):
     return formats.zmw_range(reads, 10, 200, 5, 2).select("zmw", "movie")
 
 
+@query("s8_s9_s11_sam_round_trip", "select movie || '/' || zmw as qname, 16 * (zmw % 2) as flag, movie as rname, zmw + 1 as pos, length(seq) || 'M' as cigar, seq, 'i:' || (zmw % 7) as edits, 'Z:' || movie as rg from reads where length(seq) > 0", READS)
+def sam_round_trip(spark, sf, reads):
+    path = scratch(spark, "sam")
+    tags = F.create_map(F.lit("NM"), F.concat(F.lit("i:"), F.col("zmw") % 7), F.lit("RG"), F.concat(F.lit("Z:"), "movie"))
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("mapq", "rnext", "pnext", "tlen", "qual")}
+    own = {"qname": F.concat_ws("/", "movie", "zmw"), "flag": 16 * (F.col("zmw") % 2), "rname": F.col("movie"), "pos": F.col("zmw") + 1, "cigar": F.concat(F.length("seq"), F.lit("M")), "seq": F.col("seq"), "tags": tags}
+    formats.FORMATTERS["sam"](reads.where("length(seq) > 0").select(*[c.alias(n) for n, c in own.items()], *none.values()), path)
+    return formats.parse(spark, "sam", path).select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags.NM").alias("edits"), F.col("tags.RG").alias("rg"))
+
+
+@query("s11_merged_chunks", """select rname, bin, min(t_start) as chunk_start, max(t_end) as chunk_end from (select *, sum(case when t_start <= reach then 0 else 1 end) over (partition by rname, bin order by t_start, t_end desc) as run
+    from (select *, max(t_end) over (partition by rname, bin order by t_start, t_end desc rows between unbounded preceding and 1 preceding) as reach
+    from (select distinct rname, t_start // 64 as bin, t_start, t_end from intervals))) group by rname, bin, run""", ("intervals",))
+def merged_chunks(spark, sf, i):
+    rows = i.select("rname", F.expr("t_start div 64").alias("bin"), F.col("t_start").alias("chunk_start"), F.col("t_end").alias("chunk_end"))
+    return records.merged_chunks(rows, ["rname", "bin"])
+
+
+@query("s12_genbank_features", "select 'R' || zmw as locus, substring(seq, 3, 8) || reverse(translate(substring(seq, 21, 5), 'ACGT', 'TGCA')) as bases, movie as source, 'read ' || zmw as definition from reads where length(seq) >= 30", READS)
+def genbank_features(spark, sf, reads):
+    """Reads written as annotated entries and read back: the bases of their one coding feature."""
+    path = scratch(spark, "genbank")
+    feature = F.struct(F.lit("CDS").alias("key"), F.lit("join(3..10,complement(21..25))").alias("location"), F.array(F.struct(F.lit("source").alias("name"), F.col("movie").alias("value"))).alias("qualifiers"))
+    locus = F.concat(F.lit("R"), "zmw")
+    rows = reads.where("length(seq) >= 30").select(locus.alias("locus"), F.concat(F.lit("read "), "zmw").alias("definition"), locus.alias("accession"), F.array(feature).alias("features"), "seq")
+    formats.FORMATTERS["genbank"](rows, path)
+    back = formats.parse(spark, "genbank", path)
+    return records.features_of(back, "CDS").join(back.select("locus", "definition"), "locus").select("locus", "bases", F.col("qualifiers")["source"][0].alias("source"), "definition")
+
+
+@query("s13_s14_dataset_tree", "select movie, 2 as datasets, cast(count(*) as bigint) as reads, cast(sum(length(seq)) as bigint) as bases, 'ACGT' as channels from reads group by movie", READS)
+def dataset_tree(spark, sf, reads):
+    """Reads stored as two datasets of one group and read back by the group's listing."""
+    store = chunks.ChunkStore(spark, scratch(spark, "tree"))
+    store.create_group("/run")
+    store.write_string_array("/run", "channels", list("ACGT"))
+    store.write_dataset("/run/lengths", reads.select("zmw", F.length("seq").alias("n")))
+    store.write_dataset("/run/movies", reads.select("zmw", "movie"))
+    names = store.children("/run", "dataset")
+    both = store.read_dataset(f"/run/{names[0]}").join(store.read_dataset(f"/run/{names[1]}"), "zmw")
+    channels = F.lit("".join(store.read_attribute("/run", "channels")))
+    return both.groupBy("movie").agg(F.lit(len(names)).alias("datasets"), F.count("*").alias("reads"), F.sum("n").alias("bases"), channels.alias("channels"))
+
+
 @query("s18_csv_round_trip", "select movie, zmw, num_errors from read_report", R)
 def csv_round_trip(spark, sf, r):
     path = scratch(spark, "csv")
