@@ -173,10 +173,10 @@ def read_scores(spark, sf, sub):
 
 @query("n7_n9_quiver_consensus")
 def quiver_consensus(spark, sf):
-    """Draft, refinement and qualities of six reads of each nation's name, its signs taken as bases."""
-    name = F.translate(F.translate(F.upper("n_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"), "0123456789_ ", "GATCGATCGATC")
-    copies = N.simulated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), name.alias("seq")), 6)
-    return N.group_consensus(copies.select(F.col("id").alias("key"), F.col("read").alias("seq")))
+    """Draft, refinement and qualities of six simulated reads of each benchmark item, its letters taken as bases like those of reads."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    own = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq")).where("seq <> ''")
+    return N.group_consensus(N.simulated(own, 6).select(F.col("id").alias("key"), F.col("read").alias("seq")))
 
 
 @query("n3_mutation_enumeration", "select zmw, n * 8 as all_single, 7 * n + 1 - same as unique_single from (select zmw, length(seq) as n, len(list_filter(list_zip(string_split(seq, ''), string_split('-' || seq, '')), lambda p: p[1] = p[2])) as same from reads where length(seq) >= 1)", READS)

@@ -185,3 +185,17 @@ def test_long_weak_paths_erode_whole(spark):
     nodes = spark.createDataFrame([(f"c{i}", 5) for i in range(3)] + [(f"p{i}", 1) for i in range(25)], "kmer string, n long")
     left, edges = graphs.erode(nodes, spark.createDataFrame(circle + path, "src string, dst string"), 2)
     assert sorted(r.kmer for r in left.collect()) == ["c0", "c1", "c2"] and edges.count() == 3
+
+
+def test_mutations_are_scored_as_by_rescoring_the_reads():
+    rng = random.Random(17)
+    for case in range(120):
+        text = lambda lo: "".join(rng.choice("ACGT" if case % 2 else "AC") for _ in range(rng.randint(lo, 14)))  # noqa: E731, B023
+        template, reads = text(1), [text(1), text(1)]
+        mutations = [*N.all_single(template), N.insertion(rng.randint(0, len(template)), "AC")]
+        if len(template) > 4:
+            mutations += [N.deletion(0, 2), N.deletion(2, 5), N.substitution(1, "GT")]
+        total = lambda t: sum(N.Scorer(r, t).score for r in reads)  # noqa: E731, B023
+        want = [total(N.apply([m], template)) - total(template) for m in mutations]
+        assert np.allclose(N.score_mutations(reads, template, mutations), want)
+    assert N.score_mutations(["ACG"], "ACG", []) == [] and N.consensus_qualities(["ACG"], "") == []
