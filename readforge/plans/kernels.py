@@ -352,8 +352,12 @@ SHARES = """(select rname, pos, list_transform([count(*) filter (where base = 0)
     count(*) filter (where base = 3), count(*) filter (where base > 3)], lambda n: n / count(*)::double) as s from pileup_bases group by rname, pos)"""
 
 
-@query("m7_profile_scores", f"""select rname, pos, round(ip, 6) + 0.0 as inner_product, round(9 * equal_pairs - 4 * all_pairs, 6) + 0.0 as weighted, round(9 * equal_pairs - 4 * all_pairs + 4, 6) + 0.0 as shifted, round(case when isfinite(r) then r else 0 end, 6) + 0.0 as correlation,
-    round(-sqrt(far), 6) + 0.0 as euclidean, round(ln(equal_pairs * exp(5::double) + (all_pairs - equal_pairs) * exp(-4::double) + 1 - all_pairs), 6) + 0.0 as log_exponential, round(-entropy / 2, 6) + 0.0 as entropy, round(-js / 2, 6) + 0.0 as jensen_shannon
+#: Added before rounding: sums of shares are often exact halves of the last digit, which the order of additions would round either way.
+NUDGE = 1.2345678901e-9
+
+
+@query("m7_profile_scores", f"""select rname, pos, round(ip + {NUDGE}, 6) + 0.0 as inner_product, round(9 * equal_pairs - 4 * all_pairs + {NUDGE}, 6) + 0.0 as weighted, round(9 * equal_pairs - 4 * all_pairs + 4 + {NUDGE}, 6) + 0.0 as shifted, round(case when isfinite(r) then r else 0 end + {NUDGE}, 6) + 0.0 as correlation,
+    round(-sqrt(far) + {NUDGE}, 6) + 0.0 as euclidean, round(ln(equal_pairs * exp(5::double) + (all_pairs - equal_pairs) * exp(-4::double) + 1 - all_pairs) + {NUDGE}, 6) + 0.0 as log_exponential, round(-entropy / 2 + {NUDGE}, 6) + 0.0 as entropy, round(-js / 2 + {NUDGE}, 6) + 0.0 as jensen_shannon
     from (select rname, pos, sum(x * y) as ip, sum(w * x) * sum(w * y) as all_pairs, sum(w * x * y) as equal_pairs, sum(w * 5 * (x - y) * (x - y)) as far,
     sum(case when x > 0 then x * ln(2 * x / (x + y)) else 0 end + case when y > 0 then y * ln(2 * y / (x + y)) else 0 end) as js, corr(x, y) as r, sum((greatest(x, 1e-6) - greatest(y, 1e-6)) * ln(greatest(x, 1e-6) / greatest(y, 1e-6))) as entropy
     from (select a.rname, a.pos, unnest(a.s) as x, unnest(b.s) as y, unnest([1, 1, 1, 1, 0]) as w from {SHARES} a join {SHARES} b on b.rname = a.rname and b.pos = a.pos + 1) group by rname, pos)""", PB)
@@ -363,7 +367,7 @@ def profile_scores(spark, sf, p):
     shares = p.groupBy("rname", "pos").agg(F.array(*[c / F.count("*") for c in count]).alias("x"))
     both = shares.join(shares.select("rname", (F.col("pos") - 1).alias("pos"), F.col("x").alias("y")), ["rname", "pos"])
     names = {"inner_product": "InnerProduct", "weighted": "WeightedInnerProduct", "shifted": "WeightedInnerProductShifted", "correlation": "PearsonCorrelation", "euclidean": "WeightedEuclideanDistance", "log_exponential": "LogExponentialInnerProduct", "entropy": "SymmetrizedEntropy", "jensen_shannon": "JensenShannonDivergence"}
-    return both.select("rname", "pos", *[(F.round(M.profile_score(name, F.col("x"), F.col("y")), 6) + F.lit(0.0)).alias(c) for c, name in names.items()])
+    return both.select("rname", "pos", *[(F.round(M.profile_score(name, F.col("x"), F.col("y")) + NUDGE, 6) + F.lit(0.0)).alias(c) for c, name in names.items()])
 
 
 @query("m5_m8_m9_multiple_alignment", None, SUB)
