@@ -17,6 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What operator 4's fingerprints link and is as similar, and what is as similar with fingerprints further apart."""
     return simhash.keep_first(docs, groups=similar.groups(docs))
 
 

@@ -8,7 +8,10 @@ last; any order finds all pairs, this one only makes few others meet.
 
 Of a pair's first common shingle on, at least what they have to share must be left in both, or they are not compared.
 
-Texts that meet on a shingle are first compared with one of them, which has the fewest shingles of its own at the front
+Operator 4 goes first: what its fingerprints link is compared, and what is similar is together from then on.
+Fingerprints of similar texts are often further apart than its three bits, so the rest is found by shingles.
+
+Texts that meet on a shingle are compared with one of them, which has the fewest shingles of its own at the front
 of its order and so is the likeliest to be near all others, then those that are still in different groups with each
 other. What is compared is compared exactly, so the groups are those of all pairs.
 """
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, discard, materialize, text_or_empty
 
 WORDS = 5
@@ -105,6 +109,8 @@ def _prefixes(order):
     return keyed
 
 
+#: Pairs of texts that are handed to a task at once.
+BATCH = 256
 #: Shingles a task holds of the texts it compared last; then it begins anew.
 HELD = 4_000_000
 
@@ -134,7 +140,14 @@ def _links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     left = members.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = members.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_compared, "a long, b long"), "similar-links")
+    # two whole texts a row: a batch of the usual 10,000 rows can be as large as an executor
+    conf, key = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        return materialize(both.mapInArrow(_compared, "a long, b long"), "similar-links")
+    finally:
+        conf.set(key, before)
 
 
 def _may_fit(n: str, i: str, m: str, j: str):
@@ -154,8 +167,32 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], counts[by]
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
+        ids = np.fromiter((_ident(words_of(t)) for t in texts), np.uint64, len(texts))
+        prints = np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts))
+        yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64))], names=["id", "fp"])
+
+
+def printed_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts that connect all whose fingerprints operator 4 links."""
+    prints = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(_printed, "id long, fp long").distinct(), "similar-prints")
+    low = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "similar-prints")
+    same = prints.join(low, "fp").where("id <> low").select(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b"))
+    left, right = low.select(F.col("fp").alias("a"), F.col("low").alias("x")), low.select(F.col("fp").alias("b"), F.col("low").alias("y"))
+    across = simhash.links(low.select("fp")).join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = materialize(same.unionByName(across).distinct(), "similar-pairs")
+    discard(prints)
+    discard(low)
+    return found
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, component) for every row; rows linked through similar pairs share a component."""
+    """(doc_id, text_hash, component) for every row; rows linked through similar pairs share a component.
+
+    The pairs of operator 4's fingerprints are checked first; texts they bring together aren't compared again.
+    """
     texts = docs.select(text_or_empty().alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
     keys = materialize(texts.mapInArrow(_prefixes(order), "key long, id long, n int, at int"), "similar-keys")
@@ -171,15 +208,26 @@ def groups(docs: DataFrame) -> DataFrame:
     hubs = materialize(met.join(own, "id").groupBy("key").agg(F.min(F.struct("own", F.xxhash64("id").alias("h"), "id", "n", "at")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "similar-hubs")
     star = met.join(hubs, "key").where("id <> hub").where(_may_fit("n", "at", "hub_n", "hub_at"))
     star = materialize(star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "similar-pairs")
-    first = _links(star, members)
+    discard(own)
+    discard(hubs)
+    near = _links(printed_pairs(docs), members)
+    joined = materialize(connected_components(near, "a", "b"), "similar-joined")
+    left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("p")), joined.select(F.col("node").alias("b"), F.col("component").alias("q"))
+    unmet = star.join(left, "a", "left").join(right, "b", "left").where("p is null or q is null or p <> q").select("a", "b")
+    first = near.unionByName(_links(unmet, members))
     parts = connected_components(first, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("part"))
     placed = materialize(met.join(parts, "id", "left").select("key", "id", "n", "at", F.coalesce("part", "id").alias("part")), "similar-placed")
+    discard(met)
     most = placed.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     # sizes that fit lie in neighbouring bands
     open_ = materialize(placed.join(most, "key").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")), "similar-open")
+    discard(placed)
     a = open_.where("part <> main").select("key", F.col("id").alias("i"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("part").alias("p"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     across = a.join(open_, ["key", "band"]).where("p <> part").where(_may_fit("n", "at", "m", "j"))
     rest = across.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = first.unionByName(_links(materialize(rest, "similar-pairs"), members))
+    rest = materialize(rest, "similar-pairs")
+    discard(open_)
+    links = first.unionByName(_links(rest, members))
+    discard(members)
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
     return with_id.select("id", "doc_id", "text_hash").join(parts, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component"))

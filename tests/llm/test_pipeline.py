@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from readforge.llm import decontaminate, mixing, quality
+from readforge.llm import decontaminate, mixing, quality, simhash, similar
 
 from .test_operators import edit_distance_inside, plain_components, plain_fingerprint, plain_targets
 
@@ -105,3 +105,28 @@ def test_near_duplicates_are_all_of_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
     assert got == sorted(first.values()) and 10 < len(got) < len(texts) - 20 and far > 20
+
+
+def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """The pairs compared first connect exactly the texts that operator 4 links, and its own search finds them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts = {}
+    for g in range(8):
+        base = [word() for _ in range(300)]
+        for c in range(8):
+            own = list(base)
+            for _ in range(c % 4):
+                own[rng.randrange(len(own))] = word()
+            texts[len(texts)] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked, checked, found, compare = [], [], simhash.links, similar._links
+    monkeypatch.setattr(simhash, "links", lambda prints, *a: asked.append(prints.count()) or found(prints, *a))
+    monkeypatch.setattr(similar, "_links", lambda pairs, members: checked.append(pairs.collect()) or compare(pairs, members))
+    corpus_pipeline.one_of_each_group(spark, docs, "").count()
+    prints = {similar._ident(similar.words_of(t.encode())): plain_fingerprint(t) for t in texts.values()}
+    parts, group = plain_components(prints), {i: i for i in prints}
+    for a, b in checked[0]:
+        x, y = group[a % 2**64], group[b % 2**64]
+        group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    assert asked == [len(set(prints.values()))] and group == parts and 8 < len(set(parts.values())) < len(prints) - 8
