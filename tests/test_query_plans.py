@@ -252,3 +252,12 @@ def test_best_spaced_variants(run):
             best[p + 1] = max(best[p], found.get(p, 0) + best[max(0, p - 10)])
         own = sorted(got[ref])
         assert sum(found[p] for p in own) == best[-1] and all(b - a > 10 for a, b in zip(own, own[1:], strict=False))
+
+
+@pytest.mark.parametrize("name", ["m4_kmer_distances"])
+def test_searches_compare_without_joining_pairs(spark, small, name):
+    """Neither k-mers nor pairs of whole sequences are joined; texts that are empty or missing are as in SQL."""
+    df = catalog.queries()[name](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Cartesian" not in plan
+    assert compare.difference(df, compare.connect(small), catalog.oracle_sql()[name]) is None
