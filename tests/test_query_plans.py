@@ -254,7 +254,7 @@ def test_best_spaced_variants(run):
         assert sum(found[p] for p in own) == best[-1] and all(b - a > 10 for a, b in zip(own, own[1:], strict=False))
 
 
-@pytest.mark.parametrize("name", ["m4_kmer_distances", "o10_o11_nearest", "m1_m3_kimura_matrix"])
+@pytest.mark.parametrize("name", ["m4_kmer_distances", "o10_o11_nearest", "m1_m3_kimura_matrix", "j8_read_by_reference"])
 def test_searches_compare_without_joining_pairs(spark, small, name):
     """Neither k-mers nor pairs of whole sequences are joined; texts that are empty or missing are as in SQL."""
     df = catalog.queries()[name](spark, small)
