@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from readforge.functions.fixtures import with_fixtures
+from readforge.functions.fixtures import fixture, with_fixtures
 from readforge.operators import alignment as A
 from readforge.operators import consensus as N
+from readforge.operators import kmers as K
 from readforge.operators import pileup as P
 from readforge.plans import catalog
 
@@ -261,3 +263,16 @@ def test_searches_compare_without_joining_pairs(spark, small, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan and "Cartesian" not in plan
     assert compare.difference(df, compare.connect(small), catalog.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("name", ["q1_exact_matches"])
+def test_matches_are_made_in_the_references_rows(spark, small, name, monkeypatch):
+    """No k-mer is shuffled; islands, chains and clusters are those of a join, also where few hits are held at once."""
+    monkeypatch.setattr(K, "HITS", 50)
+    df = catalog.queries()[name](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    own = fixture(spark, small, "reads").select(F.col("zmw").alias("id"), "seq")
+    joined = K.seed_matches(own.where("id % 100 = 0"), own, 20, name.startswith("q2"), F.col("query") != F.col("ref"))
+    plain = A.chained(joined) if "chains" in name else A.clustered(joined) if "clusters" in name else joined
+    assert sorted(df.collect()) == sorted(plain.select(df.columns).collect()) != []
