@@ -265,7 +265,7 @@ def test_searches_compare_without_joining_pairs(spark, small, name):
     assert compare.difference(df, compare.connect(small), catalog.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["q1_exact_matches", "q2_j11_seed_matches", "q5_w4_chains"])
+@pytest.mark.parametrize("name", ["q1_exact_matches", "q2_j11_seed_matches", "q5_w4_chains", "q6_clusters"])
 def test_matches_are_made_in_the_references_rows(spark, small, name, monkeypatch):
     """No k-mer is shuffled; islands, chains and clusters are those of a join, also where few hits are held at once."""
     monkeypatch.setattr(K, "HITS", 50)
