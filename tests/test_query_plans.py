@@ -276,3 +276,13 @@ def test_matches_are_made_in_the_references_rows(spark, small, name, monkeypatch
     joined = K.seed_matches(own.where("id % 100 = 0"), own, 20, name.startswith("q2"), F.col("query") != F.col("ref"))
     plain = A.chained(joined) if "chains" in name else A.clustered(joined) if "clusters" in name else joined
     assert sorted(df.collect()) == sorted(plain.select(df.columns).collect()) != []
+
+
+def test_distances_of_many_pairs_are_those_of_one():
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 1, 5, 30, 61))))
+    a, b = [text() for _ in range(90)], [text() for _ in range(90)]
+    b[:30] = [s[: len(s) // 2] + "GA" + s[len(s) // 2 + 1 :] for s in a[:30]]
+    assert A.weighted_distances(a, b, block=32).tolist() == [A.weighted_distance(x, y) for x, y in zip(a, b, strict=True)]
+    costs = {"mismatch": -700, "gap": -90, "gap_open": -300, "match": 500}
+    assert A.weighted_distances(a, b, **costs).tolist() == [A.weighted_distance(x, y, **costs) for x, y in zip(a, b, strict=True)]
