@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,27 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/readforge/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
+#: Rows of whole texts that Python gets at once: the usual 10,000 can be as large as an executor.
+BATCH = 256
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """What is run meanwhile hands Python at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back; rows: most that Python gets at once."""
     path = run_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, rows) if rows else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

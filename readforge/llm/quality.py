@@ -206,10 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Mo
     return fit(np.stack(sample["x"].to_list())[order], sample["quality"].to_numpy()[order])
 
 
-def _score_batches(model: Model):
+def _score_batches(model: Model, text: str = "_text"):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(*text_bytes(batch.column(batch.schema.get_field_index("_text"))))
+            own = batch.column(batch.schema.get_field_index(text))
+            x = features(*text_bytes(own.fill_null("") if own.null_count else own))
             score = model.score(x) if model.tables else np.full(len(x), 0.5)
             yield pa.record_batch([batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_text"] + [pa.array(score)], names=[c for c in batch.schema.names if c != "_text"] + ["score"])
 
@@ -226,13 +227,15 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """The rows of ``docs`` that score at least ``threshold``, with their columns as they were; all if nothing was learned."""
     if not model.tables:
         return docs
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text = names[[c.lower() for c in docs.columns].index("text")]
     plain = docs.toDF(*names)
     schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
-    scored = plain.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(_score_batches(model), schema)
+    if plain.schema[text].dataType != StringType():
+        plain, text = plain.withColumn("_text", text_or_empty(text)), "_text"
+    scored = plain.mapInArrow(_score_batches(model, text), schema)
     return scored.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
 
 

@@ -19,6 +19,7 @@ other. What is compared is compared exactly, so the groups are those of all pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, discard, materialize, text_or_empty
+from .common import BATCH, connected_components, discard, materialize, small_batches, text_or_empty
 
 WORDS = 5
 #: The least similarity as a fraction.
@@ -76,10 +77,11 @@ def _ident(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
 
-def _idents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _idents(batches: Iterator[pa.RecordBatch], with_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = np.fromiter((_ident(words_of(t.as_buffer().to_pybytes())) for t in batch.column(0)), np.uint64, batch.num_rows)
-        yield pa.record_batch([pa.array(ids.view(np.int64)), *batch.columns], names=["id", *batch.schema.names])
+        columns = batch.columns if with_text else batch.columns[1:]
+        yield pa.record_batch([pa.array(ids.view(np.int64)), *columns], names=["id", *(batch.schema.names if with_text else batch.schema.names[1:])])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +111,6 @@ def _prefixes(order):
     return keyed
 
 
-#: Pairs of texts that are handed to a task at once.
-BATCH = 256
 #: Shingles a task holds of the texts it compared last; then it begins anew.
 HELD = 4_000_000
 
@@ -140,14 +140,7 @@ def _links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     left = members.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = members.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    # two whole texts a row: a batch of the usual 10,000 rows can be as large as an executor
-    conf, key = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(BATCH))
-    try:
-        return materialize(both.mapInArrow(_compared, "a long, b long"), "similar-links")
-    finally:
-        conf.set(key, before)
+    return materialize(both.mapInArrow(_compared, "a long, b long"), "similar-links", BATCH)
 
 
 def _may_fit(n: str, i: str, m: str, j: str):
@@ -161,7 +154,8 @@ def _may_fit(n: str, i: str, m: str, j: str):
 
 def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     part = texts.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).mapInArrow(_sampled, "key long")
-    top = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
+    with small_batches(texts.sparkSession):
+        top = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
     keys, counts = np.asarray(top.column("key")).view(np.uint64), np.asarray(top.column("n"))
     by = np.argsort(keys)
     return keys[by], counts[by]
@@ -177,7 +171,7 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def printed_pairs(docs: DataFrame) -> DataFrame:
     """(a, b): pairs of texts that connect all whose fingerprints operator 4 links."""
-    prints = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(_printed, "id long, fp long").distinct(), "similar-prints")
+    prints = materialize(docs.select(text_or_empty().alias("text")).mapInArrow(_printed, "id long, fp long").distinct(), "similar-prints", BATCH)
     low = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "similar-prints")
     same = prints.join(low, "fp").where("id <> low").select(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b"))
     left, right = low.select(F.col("fp").alias("a"), F.col("low").alias("x")), low.select(F.col("fp").alias("b"), F.col("low").alias("y"))
@@ -195,13 +189,14 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(text_or_empty().alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    keys = materialize(texts.mapInArrow(_prefixes(order), "key long, id long, n int, at int"), "similar-keys")
+    keys = materialize(texts.mapInArrow(_prefixes(order), "key long, id long, n int, at int"), "similar-keys", BATCH)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     met = materialize(keys.join(shared, "key").distinct(), "similar-met")
     discard(keys)
     tagged = docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    with_id = tagged.mapInArrow(_idents, "id long, text string, doc_id long, text_hash long")
-    members = materialize(with_id.select("id", "text").join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "similar-members")
+    rows = materialize(tagged.mapInArrow(_idents, "id long, doc_id long, text_hash long"), "similar-rows", BATCH)
+    with_id = texts.mapInArrow(partial(_idents, with_text=True), "id long, text string")
+    members = materialize(with_id.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "similar-members", BATCH)
 
     # the text of a key with the fewest shingles of its own stands nearest to all the others
     own = materialize(met.groupBy("id").agg((F.floor(F.max("n") * (LEAST[1] - LEAST[0]) / LEAST[1]) + 1 - F.count("*")).alias("own")), "similar-own")
@@ -230,4 +225,4 @@ def groups(docs: DataFrame) -> DataFrame:
     links = first.unionByName(_links(rest, members))
     discard(members)
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    return with_id.select("id", "doc_id", "text_hash").join(parts, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
+    return rows.join(parts, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component"))

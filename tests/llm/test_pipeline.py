@@ -130,3 +130,24 @@ def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
         x, y = group[a % 2**64], group[b % 2**64]
         group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
     assert asked == [len(set(prints.values()))] and group == parts and 8 < len(set(parts.values())) < len(prints) - 8
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """No pass over the texts gets the usual 10,000 rows at once, and none hands them back when only ids are needed."""
+    seen, write = [], similar.materialize
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(df, label, rows=None):
+        if "MapInArrow" in df._jdf.queryExecution().executedPlan().toString():
+            seen.append((label, rows, df.columns))
+        return write(df, label, rows)
+
+    monkeypatch.setattr(similar, "materialize", watched)
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(40)], "doc_id long, text string")
+    groups = similar.groups(docs)
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and {r.component for r in groups.collect()} and spark.conf.get(key) == before
+    assert {label for label, *_ in seen} >= {"similar-keys", "similar-prints", "similar-members", "similar-links", "similar-rows"}
+    assert all(rows == similar.BATCH for label, rows, _ in seen if label != "similar-pairs")
+    assert [label for label, _, columns in seen if "text" in columns] == ["similar-members"]
