@@ -73,6 +73,44 @@ def test_weights_of_a_deep_tree(spark):
     assert got == pytest.approx({"c200": 101 / 200, "leaf": 101 / 2})
 
 
+def test_local_scores_and_spans_are_those_of_the_paths():
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets, queries = [], []
+    for i in range(300):
+        base = some(rng.randint(0, 60)) if i % 3 else some(rng.randint(1, 4)) * 12
+        changed = "".join(rng.choice(["", "A", c, c, c, c, c + rng.choice("ACGT")]) for c in base)
+        targets.append(some(rng.randint(0, 9)) + base + some(rng.randint(0, 9)))
+        queries.append(changed + some(rng.randint(0, 9)))
+    score, span = A._scored([t.encode() for t in targets], [q.encode() for q in queries], True)
+    assert (A._scored([t.encode() for t in targets], [q.encode() for q in queries])[0] == score).all()
+    want = [A.align(t, q, "local") for t, q in zip(targets, queries, strict=True)]
+    assert score.tolist() == [a.score for a in want] and span.tolist() == [len(a.target.replace("-", "")) for a in want]
+    wide = ["A" * 40, "ACGT" * 10]
+    assert A.local_scores(A._columns([t.encode() for t in wide], 1), A._columns([t.encode() for t in wide], 2), match=1000)[0].tolist() == [40_000, 40_000]
+
+
+def test_best_aligned_is_the_best_of_all_alignments(spark):
+    """Copies, copies inside longer ones, both strands, ties of references; no pair is joined and none but the best gets a path."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base, passage, out = some(150), some(40), {}
+    change = lambda s, p: "".join(c if rng.random() > p else rng.choice(["", "G", "CA"]) for c in s)
+    for i in range(60):
+        own = [base, change(base, 0.04), some(30) + passage + some(60), base[20:90], change(base, 0.1), some(100), ""][i % 7]
+        out[i] = own[::-1].translate(str.maketrans("ACGT", "TGCA")) if i % 4 == 3 else own
+    frame = spark.createDataFrame(list(out.items()), "id long, seq string").repartition(5)
+    asked = frame.where("id % 2 = 0")
+    plain = A.best_alignments(A.align_to_references(asked, frame, 12, F.col("id") % 10 != F.col("ref") % 10))
+    for pending in (1, 7, 1 << 13):
+        got = A.best_aligned(asked, frame, 12, lambda ids, refs: ids % 10 != refs % 10, pending)
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect())) and got.count() > 15
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("MapInArrow") == 1 and "Generate" not in plan
+
+
 def test_best_alignments_are_those_of_all_seeded_pairs(spark):
     rng = random.Random(8)
     base = "".join(rng.choice("ACGT") for _ in range(120))
