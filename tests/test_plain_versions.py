@@ -49,6 +49,32 @@ def test_batched_scores_are_those_of_single_reads():
         assert np.allclose(N.scores(reads, templates, mode=mode, rows=7), [N.Scorer(r, t, mode=mode).score for r, t in zip(reads, templates, strict=True)])
 
 
+def test_pair_scores_and_expected_totals_are_those_of_single_reads(monkeypatch):
+    """Also far apart, where sums without logarithms are too small; others never go the long way."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    templates = [word(rng.randint(1, 60)) for _ in range(60)] + ["AACC", "A", "AAAAAAAA", "ACGT"]
+    reads = [N.simulate_read(t, i) or "C" for i, t in enumerate(templates[:60])] + ["T", "AAAA", "AAA", "GGGGGGGG"]
+    single = lambda p, mode: [N.Scorer(r, t, p, mode=mode).score for r, t in zip(reads, templates, strict=True)]
+    odd = N.Parameters(match=-0.25, branch=-4.5)
+    with monkeypatch.context() as only:
+        only.setattr(N, "scores", None)
+        only.setattr(N, "expected_counts", None)
+        assert N.pair_scores(reads, templates, rows=9).tolist() == single(N.Parameters(), "max")
+        for p in (N.Parameters(), odd):
+            assert np.allclose(N.pair_scores(reads, templates, p, "sum", rows=9), single(p, "sum"), rtol=1e-12, atol=1e-12)
+            got = N.expected_totals(reads, templates, p, rows=9)
+            only.undo()
+            assert np.allclose(got, [N.expected_counts(r, t, p).sum(axis=0) for r, t in zip(reads, templates, strict=True)], rtol=1e-9, atol=1e-12)
+            only.setattr(N, "scores", None)
+            only.setattr(N, "expected_counts", None)
+    assert np.allclose(N.pair_scores(reads, templates, odd), single(odd, "max"))
+    far = ["A" * 150, "", "ACGT"], ["C" * 150, "ACGT" * 50, "ACGT"]
+    for mode in ("max", "sum"):
+        assert np.allclose(N.pair_scores(*far, mode=mode), [N.Scorer(r, t, mode=mode).score for r, t in zip(*far, strict=True)])
+    assert np.allclose(N.expected_totals(*far)[[0, 2]], [N.expected_counts(far[0][i], far[1][i]).sum(axis=0) for i in (0, 2)])
+
+
 def test_kmer_counts_of_any_signs(spark):
     rows = [(1, "ACGTACGTAA"), (2, "ACGNACG"), (3, ""), (4, None), (5, "AC"), (6, "ACGTACGTAA")]
     df = spark.createDataFrame(rows, "zmw long, seq string").coalesce(1)
