@@ -204,3 +204,16 @@ def test_the_rest_goes_on_without_a_library():
 
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'a1_count_by_keys' in e.queries() and 'op1_pigeonhole_decontamination' not in e.queries() and 'pipeline' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, timeout=120).returncode == 0
+
+
+def test_partial_orders_of_many_groups():
+    rng = random.Random(31)
+    groups = []
+    for g in range(120):
+        template = "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 8, 30, 90])))
+        template = template[:2] * 15 if g % 9 == 0 else template
+        groups.append(sorted(r for c in range(rng.randint(1, 5)) if (r := N.simulate_read(template, 10 * g + c))) or ["A"])
+    assert N.partial_order_consensuses(groups, 32) == [N.partial_order_consensus(g) for g in groups]
+    assert N.partial_order_consensuses([]) == []
+    with pytest.raises(ValueError):
+        N.partial_order_consensuses([["A", ""]])

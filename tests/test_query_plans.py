@@ -286,3 +286,12 @@ def test_distances_of_many_pairs_are_those_of_one():
     assert A.weighted_distances(a, b, block=32).tolist() == [A.weighted_distance(x, y) for x, y in zip(a, b, strict=True)]
     costs = {"mismatch": -700, "gap": -90, "gap_open": -300, "match": 500}
     assert A.weighted_distances(a, b, **costs).tolist() == [A.weighted_distance(x, y, **costs) for x, y in zip(a, b, strict=True)]
+
+
+def test_consensus_of_simulated_reads(run, sub):
+    copies = {}
+    for i, s in sub.items():
+        for c in range(3):
+            if r := N.simulated_copy(i, c, s):
+                copies.setdefault(i, []).append(r)
+    assert {r[0]: r[1:] for r in run("n10_poa_consensus")} == {i: N.partial_order_consensus(sorted(x)) for i, x in copies.items()}
