@@ -13,6 +13,7 @@ from readforge.operators import alignment as A
 from readforge.operators import consensus as N
 from readforge.operators import kmers as K
 from readforge.operators import pileup as P
+from readforge.operators import profiles as M
 from readforge.plans import catalog
 
 from . import compare
@@ -295,3 +296,8 @@ def test_consensus_of_simulated_reads(run, sub):
             if r := N.simulated_copy(i, c, s):
                 copies.setdefault(i, []).append(r)
     assert {r[0]: r[1:] for r in run("n10_poa_consensus")} == {i: N.partial_order_consensus(sorted(x)) for i, x in copies.items()}
+
+
+def test_alignments_of_simulated_reads(run, sub):
+    want = {(i, c): s for i, t in sub.items() for c, s in enumerate(M.multiple_alignment([N.simulated_copy(i, c, t) for c in range(3)]))}
+    assert {r[:2]: r[2] for r in run("m5_m8_m9_multiple_alignment")} == want
