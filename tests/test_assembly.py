@@ -70,3 +70,28 @@ def test_circles_are_cut_once(spark):
 def test_nothing_to_join(spark):
     contigs, unmerged, gone = assembled(spark, {1: None, 2: "", 3: "AC", 4: None}, 5)
     assert not contigs and unmerged == {1, 2, 3} and gone == {4: 1}
+
+
+def test_sequences_meet_on_a_few_pieces():
+    rng = random.Random(14)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(100)]
+    for few in (G._beginnings, G._ends):
+        row, found = few(seqs, 50)
+        assert len(row) < 5 * len(seqs)
+        # each length has one
+        lengths = sorted((r, n) for r, lo, hi in zip(row.tolist(), found["lo"].tolist(), found["hi"].tolist(), strict=True) for n in range(lo, hi + 1))
+        assert lengths == [(r, n) for r in range(100) for n in range(50, 201 - (few is G._ends))]
+    row, _ = G._windows_least(seqs, 50)
+    assert len(row) < 20 * len(seqs)
+
+
+def test_links_of_repeats_equal_plain_version(spark):
+    rng = random.Random(15)
+    origin = "ACG" * 12 + "".join(rng.choice("ACGT") for _ in range(30)) + "A" * 25 + "ACGTT" * 8
+    reads = {i: TURNS[rng.choice("+-")](origin[at : at + rng.randint(20, 45)]) for i, at in enumerate(rng.randrange(len(origin) - 20) for _ in range(30))}
+    frame = spark.createDataFrame(list(reads.items()), "id long, seq string")
+    got = {(tuple(r.src), tuple(r.dst), r.overlap) for r in G.best_overlaps(frame, 12).collect()}
+    assert got == plain_links(reads, 12, ["+", "-"]) and got
+    _, gone = G.without_contained_reads(frame, 12)
+    inside = {i for i in reads for j in reads if any(t in "+-" and (len(reads[i]) < len(reads[j]) or i > j and len(reads[i]) == len(reads[j])) and f(reads[i]) in reads[j] for t, f in TURNS.items())}
+    assert {r.id for r in gone.collect()} == inside and inside
